@@ -24,7 +24,7 @@ def key(c: Column) -> Column:
 
 
 @cache
-def _fold_table() -> tuple[str, str]:
+def fold_pairs() -> tuple[str, str]:
     """Every precomposed letter below U+2000 whose canonical decomposition starts with a plain letter."""
     src, dst = [], []
     for o in range(0xA0, 0x2000):
@@ -37,7 +37,7 @@ def _fold_table() -> tuple[str, str]:
 
 def fold_accents(c: Column) -> Column:
     """Letters without their accents, combining marks removed."""
-    src, dst = _fold_table()
+    src, dst = fold_pairs()
     return F.regexp_replace(F.translate(c, src, dst), r"\p{M}", "")
 
 
