@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut, table
 from .language import languages
+from .leakage import find_leaks
+from .mixing import mix_sources
+from .reading import reading_profile
 from .splitting import split_items
 
 
@@ -34,7 +37,42 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split(spark, sf_dir).where("piece = 0").select(F.col("id").alias("chunk_id"), "cut_class")
 
 
-QUERIES = {"p3_found": p3_found, "p3_languages": p3_languages, "p4_found": p4_found, "p4_pieces": p4_pieces}
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span of a document that stands in an evaluation passage."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).distinct()
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of the mixture."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of the mixture."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_profile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels"))
+
+
+def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading features, calibrated grade and level of every document."""
+    return _profile(spark, sf_dir)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profile(spark, sf_dir).where("level in ('easy', 'hard')").select("doc_id", "level")
+
+
+QUERIES = {
+    "p3_found": p3_found, "p3_languages": p3_languages, "p4_found": p4_found, "p4_pieces": p4_pieces,
+    "p7_found": p7_found, "p7_spans": p7_spans, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_profile": p9_profile,
+}
 
 _EDGE = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160)"
 
@@ -44,4 +82,10 @@ with long as (select id, any_value(trim("text", {_EDGE})) t from chunks where (k
 parts as (select id, t, list_max([length(trim(x, {_EDGE})) for x in string_split_regex(regexp_replace(regexp_replace(t, '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), ' [|] ', chr(10), 'g'), '[\\n\\r\\f]')]) stretch,
   list_max([length(x) for x in string_split_regex(t, '\\s+')]) run from long)
 select id chunk_id, case when stretch <= 1200 then 'clean' when run <= 1200 then 'word' else 'hard' end cut_class from parts""",
+    "p9_found": """
+with f as (select doc_id, len(regexp_extract_all(coalesce("text", ''), '\\S+')) w,
+  len(list_filter(string_split_regex(regexp_replace(regexp_replace(coalesce("text", ''), '\\n[ \\t\\r]*\\n', chr(1), 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '\\S'))) s,
+  len(list_filter(regexp_extract_all(coalesce("text", ''), '\\S+'), lambda x: regexp_matches(x, '\\p{L}{7}'))) l from documents)
+select doc_id, case when w <= 9 * s then 'easy' else 'hard' end level from f
+where w >= 20 and (w <= 9 * s and l * 4 <= w or w >= 30 * s and l * 10 >= w * 3)""",
 }
