@@ -9,6 +9,7 @@ from ..session import cut, table
 from .language import languages
 from .leakage import find_leaks
 from .mixing import mix_sources
+from .neardup import link_counts, near_duplicates, record_pairs
 from .reading import reading_profile
 from .splitting import split_items
 
@@ -37,6 +38,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split(spark, sf_dir).where("piece = 0").select(F.col("id").alias("chunk_id"), "cut_class")
 
 
+def _near(spark: SparkSession, sf_dir: str) -> list[tuple[str, tuple[DataFrame, DataFrame]]]:
+    chunks = table(spark, sf_dir, "chunks").where("kind = 'text'")
+    return [(n, near_duplicates(t, c, "text", threshold=0.6, size=3)) for n, t, c in (("chunks", chunks, "id"), ("documents", table(spark, sf_dir, "documents"), "doc_id"))]
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (record_pairs(*got).select(F.lit(name).alias("rec_table"), "id_a", "id_b") for name, got in _near(spark, sf_dir))
+    return a.unionByName(b)
+
+
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with its class of equal texts, its copies and its number of similar classes."""
+    a, b = (link_counts(*got).select(F.lit(name).alias("rec_table"), "id", "class_a", "class_b", "n_copies", "n_links") for name, got in _near(spark, sf_dir))
+    return a.unionByName(b)
+
+
 def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every span of a document that stands in an evaluation passage."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).distinct()
@@ -71,7 +88,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": p3_found, "p3_languages": p3_languages, "p4_found": p4_found, "p4_pieces": p4_pieces,
-    "p7_found": p7_found, "p7_spans": p7_spans, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_profile": p9_profile,
+    "p5_found": p5_found, "p5_links": p5_links, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_profile": p9_profile,
 }
 
 _EDGE = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160)"
