@@ -5,15 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, table
+from ..session import table
 from .language import languages
 from .leakage import find_leaks
 from .mixing import mix_sources
 from .neardup import link_counts, near_duplicates, record_pairs
 from .reading import reading_profile
+from .similar import similar_vectors
 from .splitting import split_items
 
 
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar passages of other documents of every passage."""
+    return similar_vectors(table(spark, sf_dir, "chunks"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similar_vectors(table(spark, sf_dir, "chunks"))
+    return found.select(F.least("id", "neighbour").alias("chunk_id_a"), F.greatest("id", "neighbour").alias("chunk_id_b")).distinct()
+
+
 def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stretch of every passage of kind text with its language."""
     chunks = table(spark, sf_dir, "chunks").where("kind = 'text'")
@@ -87,6 +98,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_neighbours": p1_neighbours,
     "p3_found": p3_found, "p3_languages": p3_languages, "p4_found": p4_found, "p4_pieces": p4_pieces,
     "p5_found": p5_found, "p5_links": p5_links, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_profile": p9_profile,
 }
