@@ -8,163 +8,308 @@ are opened, their members bounded one by one and what is left compared exactly.
 
 Only as much of the matrix is kept as exactness needs: of two sets with an
 overlap of at least a, the |x| - a + 1 rarest tokens of each share one, in any
-common order. The order is by a frequency sketch over all records, so common
-phrases stay out. A member is bounded by its size and by parity bitmaps: two
-sets whose bitmaps differ in d bits have at least d tokens not in common.
-Records of the same token set are one class throughout.
+common order; |x| - a + c of each share c. The order is by a frequency sketch
+over all records, so common phrases stay out. Members of a group are bounded by
+their size and by parity bitmaps (two sets whose bitmaps differ in d bits have
+at least d tokens not in common), and by the group's overlap over all parts of
+the matrix. Records of the same token set are one class throughout.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .words import words
 
+#: bits of a token; more than enough to tell the tokens of two records apart
+TOKEN_BITS = 40
 SKETCH_BITS = 18
-#: bits of the parity bitmap of a token set
+#: shared tokens that open a group
+OPEN = 3
+#: bits of the parity bitmap of a token set of up to FIT tokens; twice as many for twice the size
 PARITY = 256
+FIT = 144
 #: bits of the filter that tells which records are compared exactly
 FILTER_BITS = 20
+#: records and characters that are worked on together
+BLOCK, BLOCK_CHARS = 4096, 1_500_000
 
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-class _WordHash(dict):
-    def __missing__(self, word: str) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the step and of its inverse, modulo 2^64, at least n."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_STEP, _BACK)):
+            p = np.full(n, base, np.uint64)
+            p[0] = 1
+            _POWERS[k] = np.multiply.accumulate(p)
+    return _POWERS
+
+
+@cache
+def _in_word() -> np.ndarray:
+    """Of every code point whether it is a letter or digit."""
+    return np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
 
 
 def mix(h: np.ndarray, k: int) -> np.ndarray:
     """Another uniform 64-bit hash of hashes, by number."""
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(_STEP + 2 * k)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
-_CACHE = _WordHash()
+@dataclass
+class Sets:
+    """Token sets of some records: which records, the end of each set in ``tokens``, sorted within a set."""
+
+    rows: np.ndarray
+    ends: np.ndarray
+    tokens: np.ndarray
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.concatenate([[0], self.ends[:-1]])
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.ends, prepend=0)
 
+    @property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.ends)), self.sizes)
 
-def token_sets(texts: list[str | None], size: int, least_words: int) -> list[np.ndarray | None]:
-    """Sorted hashes of the distinct runs of ``size`` words; None below least_words (or below size)."""
-    if len(_CACHE) > 1_000_000:
-        _CACHE.clear()
-    out: list[np.ndarray | None] = []
-    for text in texts:
-        w = words(text) if text else []
-        if len(w) < max(least_words, size):
-            out.append(None)
-            continue
-        h = np.fromiter(map(_CACHE.__getitem__, w), np.uint64, len(w))
-        x = h[: len(h) - size + 1]
-        for k in range(1, size):
-            x = x * np.uint64(0xD6E8FEB86659FD93) + h[k : len(h) - size + 1 + k]
-        x = np.sort(mix(x, 0))
-        out.append(x[np.concatenate([[True], x[1:] != x[:-1]])])
-    return out
+    def take(self, keep: np.ndarray) -> Sets:
+        sizes, starts = self.sizes[keep], self.starts[keep]
+        return Sets(self.rows[keep], np.cumsum(sizes), self.tokens[np.repeat(starts, sizes) + _within(sizes)])
 
 
-def needed(n: np.ndarray | int, threshold: float):
+def token_sets(texts: list[str | None], size: int, least_words: int) -> Sets:
+    """Distinct runs of ``size`` words of the texts that have at least least_words (and size) words.
+
+    Words are runs of letters and digits in lower case, hashed all together:
+    the characters of a word times powers of a step, moved to the word's start.
+    """
+    joined = "\0".join((t or "").replace("\0", " ") for t in texts).lower()
+    data = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    gap = ~_in_word()[data]
+    up, down = _powers(len(data) + 1)
+    starts = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]])) if len(data) else np.zeros(0, np.int64)
+    none = Sets(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    if not len(starts):
+        return none
+    value = (data.astype(np.uint64) + np.uint64(1)) * up[: len(data)]
+    value[gap] = 0
+    word = np.add.reduceat(value, starts) * down[starts]
+    word = mix(word, 4)
+    owner = np.searchsorted(np.flatnonzero(data == 0), starts)
+    counts = np.bincount(owner, minlength=len(texts))
+    m = len(word) - size + 1
+    if m <= 0:
+        return none
+    x = word[:m]
+    for k in range(1, size):
+        x = x * np.uint64(0xD6E8FEB86659FD93) + word[k : m + k]
+    inside = (owner[:m] == owner[size - 1 :]) & (counts[owner[:m]] >= max(least_words, size))
+    x = mix(x[inside], 0) >> np.uint64(64 - TOKEN_BITS)
+    keyed = np.sort((owner[:m][inside].astype(np.uint64) << np.uint64(TOKEN_BITS)) | x)
+    if not len(keyed):
+        return none
+    keyed = keyed[np.concatenate([[True], keyed[1:] != keyed[:-1]])]
+    rows, n = np.unique(keyed >> np.uint64(TOKEN_BITS), return_counts=True)
+    return Sets(rows.astype(np.int64), np.cumsum(n), keyed & np.uint64((1 << TOKEN_BITS) - 1))
+
+
+def blocks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts in runs of bounded number and length, with the place of each run."""
+    a = chars = 0
+    for i, t in enumerate(texts):
+        chars += len(t or "")
+        if i - a == BLOCK or (chars > BLOCK_CHARS and i > a):
+            yield a, texts[a:i]
+            a, chars = i, len(t or "")
+    if a < len(texts):
+        yield a, texts[a:]
+
+
+def needed(n: np.ndarray, threshold: float) -> np.ndarray:
     """Tokens that a set of n must share with a set at least that similar."""
-    return np.ceil(threshold * n - 1e-9).astype(np.int64) if isinstance(n, np.ndarray) else math.ceil(threshold * n - 1e-9)
+    return np.ceil(threshold * n - 1e-9).astype(np.int64)
+
+
+def signatures(s: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes that name each token set."""
+    a = np.add.reduceat(mix(s.tokens, 1), s.starts) ^ s.sizes.astype(np.uint64)
+    return a.astype(np.int64), np.bitwise_xor.reduceat(mix(s.tokens, 2), s.starts).astype(np.int64)
+
 
+def sketch_place(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64)
 
-def signature(s: np.ndarray) -> tuple[int, int]:
-    """Two signed hashes that name a token set."""
-    a = mix(s, 1).sum(dtype=np.uint64) ^ np.uint64(len(s))
-    b = np.bitwise_xor.reduce(mix(s, 2))
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
 
+def rarity(sketch: np.ndarray) -> np.ndarray:
+    """Rank of each place of the sketch among 4,096 steps of frequency, on a logarithmic scale."""
+    return np.minimum(4095, np.log1p(sketch) * 128).astype(np.uint64)
 
-def prefix(s: np.ndarray, sketch: np.ndarray, threshold: float) -> np.ndarray:
-    """The rarest tokens, of which two similar sets share at least one."""
-    seen = sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    return s[np.lexsort((s, seen))[: len(s) - needed(len(s), threshold) + 1]]
 
+def prefixes(s: Sets, rare: np.ndarray, threshold: float) -> Sets:
+    """Of each set (at most BLOCK) the rarest tokens, of which two similar sets share OPEN."""
+    w = rare[sketch_place(s.tokens)]
+    keyed = np.sort((s.owner.astype(np.uint64) << np.uint64(52)) | (w << np.uint64(TOKEN_BITS)) | s.tokens)
+    need = needed(s.sizes, threshold)
+    length = s.sizes - need + np.minimum(OPEN, need)
+    at = np.repeat(s.starts, length) + _within(length)
+    return Sets(s.rows, np.cumsum(length), keyed[at] & np.uint64((1 << TOKEN_BITS) - 1))
 
-def parity(sets: list[np.ndarray]) -> np.ndarray:
-    """Parity bitmap of each set, as rows of 64-bit words."""
-    sizes = [len(s) for s in sets]
-    bit = np.repeat(np.arange(len(sets)) * PARITY, sizes) + (np.concatenate(sets) >> np.uint64(20)).astype(np.int64) % PARITY
-    odd = (np.bincount(bit, minlength=len(sets) * PARITY) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(len(sets), PARITY), axis=1, bitorder="little").view(np.uint64)
 
+def level_of(n: np.ndarray) -> np.ndarray:
+    """Doublings of the bitmap that a set of n tokens has."""
+    return np.ceil(np.log2(np.maximum(n, FIT) / FIT)).astype(np.int64)
 
-HEAD = np.dtype([("sig", "<i8"), ("group", "<u4"), ("n", "<u4"), ("bits", "<u8", (PARITY // 64,))])
+
+def parity(s: Sets, bits: int) -> np.ndarray:
+    """Parity bitmap of each set over ``bits`` bits, as rows of 64-bit words."""
+    at = s.owner * bits + (mix(s.tokens, 5) & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(s.ends) * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(s.ends), bits), axis=1, bitorder="little").view(np.uint64)
+
+
+HEAD = np.dtype([("sig", "<i8"), ("group", "<u4"), ("n", "<u4")])
 CELL = np.dtype([("token", "<u4"), ("row", "<u2")])
 
 
-def matrix_parts(sets: list[np.ndarray], sigs: list[int], sketch: np.ndarray, threshold: float, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(part, heads, cells) of the matrix for at most 65,536 records, each with one head per part in which it has cells."""
-    chosen = [prefix(s, sketch, threshold) for s in sets]
-    head = np.zeros(len(sets), HEAD)
-    head["sig"], head["n"], head["bits"] = sigs, [len(s) for s in sets], parity(sets)
-    head["group"] = [int(mix(p, 3).min() >> np.uint64(32)) for p in chosen]
-    token = np.concatenate(chosen)
-    row = np.repeat(np.arange(len(sets)), [len(p) for p in chosen])
-    part = ((token >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part * len(sets) + row, kind="stable")
+def matrix_parts(s: Sets, sigs: np.ndarray, rare: np.ndarray, threshold: float, parts: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(part, heads, bitmaps, cells) of the matrix for at most BLOCK records, each with one head per part in which it has cells.
+
+    The records of a part stand in the order of the size of their bitmaps.
+    """
+    order = np.argsort(level_of(s.sizes), kind="stable")
+    s, sigs = s.take(order), sigs[order]
+    level = level_of(s.sizes)
+    chosen = prefixes(s, rare, threshold)
+    head = np.zeros(len(sigs), HEAD)
+    head["sig"], head["n"] = sigs, s.sizes
+    head["group"] = np.minimum.reduceat(mix(chosen.tokens, 3), chosen.starts) >> np.uint64(32)
+    first = {int(x): int(np.searchsorted(level, x)) for x in np.unique(level)}
+    bitmaps = {x: parity(s.take(np.flatnonzero(level == x)), PARITY << x) for x in first}
+    token, row = chosen.tokens, chosen.owner
+    part = (mix(token, 6) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part * len(sigs) + row, kind="stable")
     token, row, part = token[order], row[order], part[order]
     ends = np.searchsorted(part, np.arange(parts), side="right")
     a = 0
     for p, b in enumerate(ends.tolist()):
         if b > a:
-            mine, local = np.unique(row[a:b], return_inverse=True)
-            cells = np.zeros(b - a, CELL)
-            cells["token"], cells["row"] = token[a:b].astype(np.uint32), local
-            yield p, head[mine].tobytes(), cells.tobytes()
+            new = np.concatenate([[True], row[a + 1 : b] != row[a : b - 1]])
+            mine, cells = row[a:b][new], np.zeros(b - a, CELL)
+            cells["token"], cells["row"] = token[a:b] & np.uint64(0xFFFFFFFF), np.cumsum(new) - 1
+            bits = b"".join(bitmaps[x][mine[level[mine] == x] - first[x]].tobytes() for x in sorted(first))
+            yield p, head[mine].tobytes(), bits, cells.tobytes()
         a = b
 
 
-def open_groups(heads: list[bytes], cells: list[bytes], threshold: float, block: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of signatures of one part of the matrix that no bound rules out, the smaller first."""
+class Bounds:
+    """Sizes and bitmaps of records, from which the overlap of two is bounded."""
+
+    def __init__(self, n: np.ndarray, batches: list[tuple[int, bytes]]):
+        """n of all records; per batch the number of its records and their bitmaps."""
+        self.n, self.level = n, level_of(n)
+        self.at = np.zeros((int(self.level.max()) + 1, len(n)), np.int32)
+        tables: list[list[np.ndarray]] = [[] for _ in range(len(self.at))]
+        a = 0
+        for count, blob in batches:
+            words, pos = np.frombuffer(blob, np.uint64), 0
+            level = self.level[a : a + count]
+            for x in np.unique(level):
+                rows, width = int((level == x).sum()), (PARITY << int(x)) // 64
+                tables[x].append(words[pos : pos + rows * width].reshape(rows, width))
+                pos += rows * width
+            a += count
+        self.tables: list[np.ndarray] = []
+        above: np.ndarray | None = None
+        for x in range(len(tables) - 1, -1, -1):  # a record also stands in the smaller bitmaps, folded
+            width = (PARITY << x) // 64
+            own = np.concatenate(tables[x]) if tables[x] else np.zeros((0, width), np.uint64)
+            if above is not None:
+                own = np.concatenate([own, above[:, :width] ^ above[:, width:]])
+            self.tables.insert(0, own)
+            above = own
+        order = np.zeros(0, np.int64)
+        for x in range(len(tables) - 1, -1, -1):
+            order = np.concatenate([np.flatnonzero(self.level == x), order])
+            self.at[x, order] = np.arange(len(order))
+
+    def reach(self, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+        """Which pairs may reach the threshold."""
+        both = self.n[x] + self.n[y]
+        need = np.ceil(threshold / (1 + threshold) * both - 1e-9)
+        ok = np.minimum(self.n[x], self.n[y]) >= need
+        lower = np.minimum(self.level[x], self.level[y])
+        for level in range(len(self.tables)):
+            i = np.flatnonzero(ok & (lower == level))
+            t, at = self.tables[level], self.at[level]
+            apart = np.bitwise_count(t[at[x[i]]] ^ t[at[y[i]]]).sum(1, dtype=np.int64)
+            ok[i] = both[i] - apart >= 2 * need[i]
+        return ok
+
+
+def open_groups(heads: list[bytes], bitmaps: list[bytes], cells: list[bytes], threshold: float, block: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(class, class, overlap) of one part of the matrix: pairs that no bound rules out, the overlap of the first with the group of the second.
+
+    The queries are taken in runs, so an overlap is complete for this part.
+    """
     head = np.frombuffer(b"".join(heads), HEAD)
     sizes = np.array([len(h) // HEAD.itemsize for h in heads])
     cell = np.frombuffer(b"".join(cells), CELL)
     row = cell["row"].astype(np.int64) + np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), [len(c) // CELL.itemsize for c in cells])
+    bounds = Bounds(head["n"].astype(np.int64), list(zip(sizes.tolist(), bitmaps)))
     sig, first, of = np.unique(head["sig"], return_index=True, return_inverse=True)  # a class may come from several batches
-    group, n, bits = head["group"][first], head["n"][first].astype(np.int64), head["bits"][first]
-    # the matrix: (token, group) with its queries; rows sorted by token
-    key = np.unique((cell["token"].astype(np.int64) << 32) | of[row])
-    token, rec = key >> 32, key & 0xFFFFFFFF
-    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    count = np.diff(np.append(start, len(token)))
-    many = count > 1
-    start, count = start[many], count[many]
+    names, group, members_of = np.unique(head["group"][first], return_inverse=True, return_counts=True)
+    token, number = np.unique(cell["token"], return_inverse=True)
+    # the matrix: the groups of each token, without those that hold one record and one token in common with itself only
+    matrix = np.unique(number * len(names) + group[of[row]])
+    m_token, m_group = matrix // len(names), matrix % len(names)
+    asked = np.unique(of[row] * len(token) + number)  # sorted by query
+    q, t = asked // len(token), asked % len(token)
+    start = np.searchsorted(m_token, np.arange(len(token)))
+    width = np.diff(np.append(start, len(m_token)))
+    alone = (width[t] == 1) & (members_of[group[q]] == 1)
+    q, t = q[~alone], t[~alone]
     by_group = np.argsort(group, kind="stable")
-    sorted_group = group[by_group]
-    ends = np.cumsum(count * count)
-    a = 0
-    while a < len(count):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + block, side="right")))
-        c = count[a:b]
-        # every query of a token with every group of that token
-        q = rec[np.repeat(np.repeat(start[a:b], c) + _within(c), np.repeat(c, c))]
-        width = np.repeat(c, c)
-        other = np.repeat(np.repeat(start[a:b], c), width) + _within(width)
-        opened = np.unique((q << 32) | group[rec[other]].astype(np.int64))
-        q, g = opened >> 32, (opened & 0xFFFFFFFF).astype(np.uint32)
-        lo, hi = np.searchsorted(sorted_group, g, side="left"), np.searchsorted(sorted_group, g, side="right")
-        members = by_group[np.repeat(lo, hi - lo) + _within(hi - lo)]
-        q = np.repeat(q, hi - lo)
-        keep = q < members
-        q, m = q[keep], members[keep]
-        for i in range(0, len(q), block):
-            x, y = q[i : i + block], m[i : i + block]
-            both = n[x] + n[y]
-            need = np.ceil(threshold / (1 + threshold) * both - 1e-9)
-            ok = np.minimum(n[x], n[y]) >= need
-            x, y, both, need = x[ok], y[ok], both[ok], need[ok]
-            ok = both - np.bitwise_count(bits[x] ^ bits[y]).sum(1) >= 2 * need
+    group_start = np.concatenate([[0], np.cumsum(members_of)[:-1]])
+    last = np.flatnonzero(np.append(q[1:] != q[:-1], True)) + 1 if len(q) else np.zeros(0, np.int64)
+    ends = np.cumsum(width[t])[last - 1] if len(q) else last
+    a = i = 0
+    while i < len(last):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + block, side="right")))
+        b = int(last[j - 1])
+        w = width[t[a:b]]
+        g = m_group[np.repeat(start[t[a:b]], w) + _within(w)]
+        who = np.repeat(q[a:b], w)
+        ok = (g != group[who]) | (members_of[g] > 1)
+        opened, shared = np.unique(who[ok] * len(names) + g[ok], return_counts=True)
+        who, g = opened // len(names), opened % len(names)
+        n = members_of[g]
+        m, who, shared = by_group[np.repeat(group_start[g], n) + _within(n)], np.repeat(who, n), np.repeat(shared, n)
+        later = who < m
+        who, m, shared = who[later], m[later], shared[later]
+        for c in range(0, len(who), block):
+            x, y, z = who[c : c + block], m[c : c + block], shared[c : c + block]
+            ok = bounds.reach(first[x], first[y], threshold)
             if ok.any():
-                yield sig[x[ok]], sig[y[ok]]
-        a = b
+                yield sig[x[ok]], sig[y[ok]], z[ok]
+        a, i = b, j
 
 
 def _within(counts: np.ndarray) -> np.ndarray:
@@ -189,55 +334,61 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str, threshold: f
     id_type = src.schema["id"].dataType.simpleString()
     pa_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
 
-    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-        for batch in batches:
-            for part in (batch.slice(i, 10_000) for i in range(0, batch.num_rows, 10_000)):
-                sets = token_sets(part.column("text").to_pylist(), size, least_words)
-                held = [i for i, s in enumerate(sets) if s is not None]
-                if held:
-                    yield part.column("id").take(pa.array(held)).to_pylist(), [sets[i] for i in held]
+    names = ["id", "class_a", "class_b", "n_tokens"]
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["id", "class_a", "class_b", "n_tokens"]
-        for ids, sets in batches_of(batches):
-            sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-            a, b = zip(*map(signature, sets))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa_id), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names)
+        for batch in batches:
+            for at, texts in blocks(batch.column("text").to_pylist()):
+                s = token_sets(texts, size, least_words)
+                if len(s.ends):
+                    sketch += np.bincount(sketch_place(s.tokens), minlength=1 << SKETCH_BITS)
+                    a, b = signatures(s)
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at + s.rows)), pa.array(a), pa.array(b), pa.array(s.sizes)], names)
         full = np.flatnonzero(sketch)
         if len(full):
             yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa_id), pa.array(full), pa.nulls(len(full), pa.int64()), pa.array(sketch[full])], names)
 
     surveyed = cut(src.mapInArrow(survey, f"id {id_type}, class_a bigint, class_b bigint, n_tokens bigint"), "shingles")
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    counted = surveyed.where("id is null").groupBy("class_a").agg(F.sum("n_tokens").alias("n")).toPandas()  # at most 2^SKETCH_BITS rows
-    sketch[counted["class_a"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    held = spark.sparkContext.broadcast(sketch)
+    counted = surveyed.where("id is null").groupBy("class_a").agg(F.sum("n_tokens").alias("n")).toArrow()  # at most 2^SKETCH_BITS rows
+    sketch[np.asarray(counted.column("class_a"))] = np.asarray(counted.column("n"))
+    held = spark.sparkContext.broadcast(rarity(sketch))
     classes = surveyed.where("id is not null").dropDuplicates(["id"])
 
     records_n, tokens_n = surveyed.where("id is not null").agg(F.count("*"), F.sum("n_tokens")).first()
-    volume = (1 - threshold) * (tokens_n or 0) * CELL.itemsize + (records_n or 0) * HEAD.itemsize * 16
+    volume = (1 - threshold) * (tokens_n or 0) * CELL.itemsize + (records_n or 0) * (HEAD.itemsize + PARITY // 8) * 16
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(volume / (part_mb * 1_000_000)))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in batches_of(batches):
-            unique = {signature(s)[0]: s for s in sets}  # copies cost one row a batch
-            rows = list(zip(*matrix_parts(list(unique.values()), list(unique), held.value, threshold, parts)))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["part", "heads", "cells"])
+        for batch in batches:
+            for _, texts in blocks(batch.column("text").to_pylist()):
+                s = token_sets(texts, size, least_words)
+                if not len(s.ends):
+                    continue
+                sigs, one = np.unique(signatures(s)[0], return_index=True)  # copies cost one row a block
+                rows = list(zip(*matrix_parts(s.take(one), sigs, held.value, threshold, parts)))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["part", "heads", "bitmaps", "cells"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, cells = [], []
+        got: list[list[bytes]] = [[], [], []]
         for batch in batches:
-            heads += batch.column("heads").to_pylist()
-            cells += batch.column("cells").to_pylist()
-        if heads:
-            for a, b in open_groups(heads, cells, threshold):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            for kept, name in zip(got, ("heads", "bitmaps", "cells")):
+                kept += batch.column(name).to_pylist()
+        if got[0]:
+            for a, b, c in open_groups(*got, threshold):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], ["a", "b", "c"])
 
-    matrix = src.mapInArrow(spread, "part int, heads binary, cells binary").repartitionById(parts, F.col("part"))
-    pairs = cut(matrix.mapInArrow(compare, "a bigint, b bigint").distinct(), "opened")
+    matrix = src.mapInArrow(spread, "part int, heads binary, bitmaps binary, cells binary").repartitionById(parts, F.col("part"))
+    overlaps = matrix.mapInArrow(compare, "a bigint, b bigint, c bigint").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    # a set of few tokens need share no more than it must; such sets are told by their class table below
+    pairs = cut(overlaps, "opened")
 
     # exact comparison: the token sets of the classes in open pairs, each from its least record
+    small = math.ceil(OPEN / threshold)  # below, a set must share fewer than OPEN tokens
+    few = classes.where(F.col("n_tokens") <= small).select(F.col("class_a").alias("a")).distinct().withColumn("few", F.lit(True))
+    low = pairs.where(F.col("c") < OPEN).join(few, "a", "left_semi")
+    pairs = pairs.where(F.col("c") >= OPEN).unionByName(low).select("a", "b")
     sought = pairs.select(F.col("a").alias("class_a")).union(pairs.select("b")).distinct()
     named = cut(classes.groupBy("class_a", "class_b").agg(F.min("id").alias("id")).join(sought, "class_a"), "sought")
     slot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).cast("int")
@@ -248,11 +399,13 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str, threshold: f
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.unpackbits(look.value).astype(bool)
         for batch in batches:
-            rows = pa.array(np.flatnonzero(flags[batch.column("slot").to_numpy()]))
-            sets = token_sets(batch.column("text").take(rows).to_pylist(), size, least_words)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), pa.array([None if s is None else s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "tokens"])
+            rows = np.flatnonzero(flags[batch.column("slot").to_numpy()])
+            for at, texts in blocks(batch.column("text").take(pa.array(rows)).to_pylist()):
+                s = token_sets(texts, size, least_words)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, s.ends), pa.int32()), pa.array(s.tokens.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows[at + s.rows])), lists], ["id", "tokens"])
 
-    tokens = src.withColumn("slot", slot).mapInArrow(fetch, f"id {id_type}, tokens array<bigint>").where("tokens is not null")
+    tokens = src.withColumn("slot", slot).mapInArrow(fetch, f"id {id_type}, tokens array<bigint>")
     sets = cut(tokens.join(named, "id").dropDuplicates(["id"]).select("class_a", "class_b", "tokens"), "tokens")
     side = lambda p: sets.select(*[F.col(c).alias(f"{p}_{c}") for c in sets.columns])
     met = pairs.join(side("a"), F.col("a") == F.col("a_class_a")).join(side("b"), F.col("b") == F.col("b_class_a"))
