@@ -230,16 +230,14 @@ def stretches(tree: Tree, texts: list[str], switch: float, least_words: int, lea
 def fit(items: DataFrame, text_col: str, hint_col: str, sample: int = 3000, switch: float = 30.0) -> Tree | None:
     """Train on at most ``sample`` labelled rows, chosen by the hash of their text.
 
-    Labels may be wrong: the first model relabels the sample, texts of one
+    A share of the rows that gives about twice the sample is cut down to it, so
+    what the tasks send stays bounded too. Labels may be wrong: the first model relabels the sample, texts of one
     language only train the final one. None if no row is labelled.
     """
-    rows = (
-        items.select(F.col(text_col).alias("text"), named_language(F.col(hint_col)).alias("lang"))
-        .where("lang is not null and length(text) between 80 and 20000")
-        .orderBy(F.xxhash64("text"))
-        .limit(sample)
-        .collect()
-    )
+    labelled = items.select(F.col(text_col).alias("text"), named_language(F.col(hint_col)).alias("lang")).where("lang is not null")
+    share = min(1.0, 2 * sample / max(1, labelled.select("lang").count()))
+    chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
+    rows = labelled.where("length(text) between 80 and 20000").where(chosen).orderBy(F.xxhash64("text")).limit(sample).collect()
     if not rows:
         return None
     by = {lang: [r.text for r in rows if r.lang == lang] for lang in LANGS}
