@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.archive import parse_date, parse_number
 from ..functions.text import norm_col
+from ..session import cut
 
 PAYLOAD = (
     "table_uid string, doc_id string, source string, table_id string, sheet string, page int, doc_type string, year string, headers array<string>, "
@@ -127,12 +128,13 @@ def extract(payloads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     are hashes of table and row, the same on every run.
     """
     flat = stand_up(payloads)
-    cells = cells_of(flat)
+    cells = cut(cells_of(flat), "cells")  # read by every step below
+    flat = cut(flat.drop("headers", "rows"), "tables")
     counted = cells.groupBy("table_uid", "pos", "name", "raw").agg(F.count("num").alias("n_num"), F.count("date").alias("n_date"), F.count_if(F.col("text") != "").alias("n_values"))
     role, kind = column_role(F.col("name"), F.col("n_num"), F.col("n_date"), F.col("n_values"))
     columns = counted.withColumn("role", role).withColumn("kind", kind)
     found = running_balances(cells, columns).withColumn("found", F.lit(True))
-    columns = columns.join(found, ["table_uid", "name"], "left").withColumn("role", F.when(F.col("found"), "balance").otherwise(F.col("role"))).drop("found")
+    columns = cut(columns.join(found, ["table_uid", "name"], "left").withColumn("role", F.when(F.col("found"), "balance").otherwise(F.col("role"))).drop("found"), "columns")
     per = columns.groupBy("table_uid").agg(
         F.sort_array(F.collect_list(F.struct("pos", "name", "raw", "role", "kind", "n_num", "n_date", "n_values"))).alias("columns"), F.bool_or(F.col("role") == "date").alias("has_date")
     )
@@ -150,8 +152,7 @@ def extract(payloads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     values = cells.where("text <> ''").select(fact_id.alias("fact_id"), "table_uid", F.col("name").alias("col"), "text", "num", "date")
     counts = facts.groupBy("table_uid").agg(F.count_if(F.col("row_kind") == "data").cast("int").alias("n_rows"), F.count_if(F.col("row_kind") == "total").cast("int").alias("n_total_rows"))
     tables = (
-        flat.drop("headers", "rows")
-        .join(per.select("table_uid", F.transform("columns", lambda c: F.struct(c["name"].alias("name"), c["raw"].alias("raw"), c["role"].alias("role"), c["kind"].alias("kind"))).alias("columns")), "table_uid")
+        flat.join(per.select("table_uid", F.transform("columns", lambda c: F.struct(c["name"].alias("name"), c["raw"].alias("raw"), c["role"].alias("role"), c["kind"].alias("kind"))).alias("columns")), "table_uid")
         .join(counts, "table_uid", "left")
         .fillna(0, ["n_rows", "n_total_rows"])
     )

@@ -71,7 +71,8 @@ def bm25_topk(chunks: DataFrame, query: str, k: int = 50, where: Column | None =
         return _ranked(c.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where("false"), k)
     distinct = list(dict.fromkeys(terms))
     tokens = c.select(F.col(id_col).alias("id"), folded_tokens(F.col(text_col)).alias("tokens"))
-    tf = [F.size(F.filter("tokens", lambda x, t=t: x == t)) for t in distinct]
+    times = lambda term: F.size(F.filter("tokens", lambda x: x == F.lit(term)))
+    tf = [times(t) for t in distinct]
     counted = tokens.select("id", F.size("tokens").alias("length"), F.array(*tf).alias("tf"))
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(distinct))])
     joined = counted.join(F.broadcast(stats)).where(F.exists("tf", lambda x: x > 0))  # one row of statistics

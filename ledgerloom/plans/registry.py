@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import engine, quality
 
-_MODULES = (quality,)
+_MODULES = (engine, quality)
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.p2_report(spark, sf_dir)
+    return queries()["agg_breakdown"](spark, sf_dir)

@@ -3,6 +3,7 @@ import pytest
 from ledgerloom.operators.aggregate import FactStore
 from ledgerloom.operators.extract import extract
 from ledgerloom.plans.render import render
+from ledgerloom.session import cut
 from ledgerloom.sources.files import describe, elements_of, payloads_of
 
 INVOICES = """Rechnungsnummer;Kunde;Datum;Nettobetrag (EUR);Status
@@ -46,14 +47,14 @@ def store_of(spark, files):
     df = spark.createDataFrame([(f"/x/{n}", bytearray(t.encode())) for n, t in files.items()], "path string, content binary")
     parsed = elements_of(df)
     about = describe(parsed)
-    return FactStore(*extract(payloads_of(parsed, about)), documents=parsed.select("doc_id", "source").distinct().join(about, "doc_id"))
+    parsed, about = cut(parsed, "parsed"), cut(about, "about")
+    made = [cut(t, "made") for t in extract(payloads_of(parsed, about))]
+    return FactStore(*made, documents=cut(parsed.select("doc_id", "source").distinct().join(about, "doc_id"), "documents"))
 
 
 @pytest.fixture(scope="module")
 def store(spark):
-    s = store_of(spark, FILES)
-    s.tables, s.facts, s.values = s.tables.cache(), s.facts.cache(), s.values.cache()
-    return s
+    return store_of(spark, FILES)
 
 
 def test_roles(store):
