@@ -10,6 +10,7 @@ matching column allows is refused with the columns that do.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -161,14 +162,15 @@ class FactStore:
 
     def per_table(self, r: Request, tables: DataFrame) -> DataFrame:
         """table_uid, source, sheet, column, role, rows_total, rows_matched, rows_indexed, totals_excluded, value."""
-        agg = self.rows(r, tables).groupBy("table_uid").agg(F.count("*").alias("rows_matched"), self._value("count" if r.op in ("breakdown", "closing") else r.op).alias("value"))
+        value = self._value("count" if r.op in ("breakdown", "closing") else r.op)
+        agg = self.rows(r, tables).groupBy("table_uid").agg(F.count("*").alias("rows_matched"), value.alias("value"), F.sum(F.col("num").cast(MONEY)).alias("num_sum"), F.count("num").alias("num_count"))
         t = tables.where("skip is null").join(agg, "table_uid", "left")
         zero = lambda c: F.coalesce(F.col(c), F.lit(0))
         value = F.coalesce("value", F.lit(0.0)) if r.op in ("count", "distinct", "breakdown") else F.col("value")
         return t.select(
             "table_uid", "source", "sheet", "doc_id", F.coalesce("measure.raw", F.lit("")).alias("column"), F.coalesce("measure.role", F.lit("")).alias("role"), F.coalesce("layout", F.lit("records")).alias("layout"),
             signature(F.col("columns")).alias("signature"), F.col("n_rows").alias("rows_total"), zero("rows_matched").alias("rows_matched"), F.col("n_rows_indexed").alias("rows_indexed"),
-            F.col("n_total_rows").alias("totals_excluded"), (zero("n_rows_total") > zero("n_rows_seen")).alias("capped"), value.alias("value"),
+            F.col("n_total_rows").alias("totals_excluded"), (zero("n_rows_total") > zero("n_rows_seen")).alias("capped"), value.alias("value"), "num_sum", "num_count",
         )
 
     def total(self, r: Request, tables: DataFrame) -> DataFrame:
@@ -223,42 +225,48 @@ class FactStore:
         if op != "count" and not r.column:
             return Result(False, op, error=f"'{op}' needs a column", available=self.available_columns())
         tables = self.resolve(r)
-        roles = {row.role: row.n for row in tables.groupBy(F.col("measure.role").alias("role")).agg(F.count("*").alias("n")).collect()}
-        if not roles:
+        seen = tables.groupBy(F.col("measure.role").alias("role"), "skip").agg(F.count("*").alias("n"), F.count_if(F.size("candidates") > 1).alias("many"), F.min("measure.raw").alias("raw")).orderBy("skip", "role").collect()
+        roles = {x.role for x in seen}
+        if not seen:
             return Result(False, op, error=f"no column like '{r.column}' in the tables of that scope", available=self.available_columns())
         if op in ("sum", "average") and all(role in UNSUMMABLE for role in roles):
             return self._refused(r, tables)
         if op == "closing":
-            return self._closed(r, tables)
+            return self._closed(r, tables, seen)
         per = self.per_table(r, tables).cache()
         facts = per.agg(
             F.count("*").alias("n"), F.sum("rows_matched").alias("matched"), F.sum("rows_total").alias("scanned"), F.sum("totals_excluded").alias("excluded"), F.count_distinct("doc_id").alias("docs"),
-            F.count_distinct("signature").alias("shapes"), F.count_if("capped").alias("capped"), F.count_if(F.col("layout") == "keyvalue").alias("sheets"), F.count_if(F.col("rows_indexed") < F.col("rows_total") + F.col("totals_excluded")).alias("thin"),
+            F.count_distinct("signature").alias("shapes"), F.sum("num_sum").alias("num_sum"), F.sum("num_count").alias("num_count"), F.min("value").alias("least"), F.max("value").alias("most"), F.count_if("capped").alias("capped"), F.count_if(F.col("layout") == "keyvalue").alias("sheets"), F.count_if(F.col("rows_indexed") < F.col("rows_total") + F.col("totals_excluded")).alias("thin"),
         ).first()
-        warnings = self._skipped(r, tables)
+        warnings = self._skipped(r, tables, seen)
         if not facts.n:
             return Result(False, op, error="the filter could not be applied to any table in scope - this is NOT a count of zero", warnings=warnings)
         out = Result(True, op, matched_rows=facts.matched or 0, scanned_rows=facts.scanned or 0, totals_excluded=facts.excluded or 0, n_documents=facts.docs, n_tables=facts.n, per_table=per, warnings=warnings)
-        out.column = per.agg(F.min("column").alias("c")).first().c or ""
+        out.column = min((x.raw for x in seen if x.raw and x.skip is None), default="")
         if op == "breakdown":
             groups = self.breakdown(r, tables)
             out.value = groups.count()
             out.groups = [g.asDict() for g in groups.orderBy(F.desc("n_rows"), "key").limit(LISTED).collect()]
             out.groups_truncated = max(0, out.value - LISTED)
             return out
-        value = self.total(r, tables).first().value
-        out.value = int(value) if op in ("count", "distinct") and value is not None else value
+        if op == "distinct":
+            out.value = int(self.total(r, tables).first().value or 0)
+        elif op in ("sum", "average"):
+            pooled = None if facts.num_sum is None else facts.num_sum if op == "sum" else facts.num_sum / facts.num_count
+            out.value = None if pooled is None else float(pooled.quantize(Decimal("0.01"), ROUND_HALF_UP))
+        else:
+            out.value = {"count": out.matched_rows, "min": facts.least, "max": facts.most}[op]
         if facts.capped:
             warnings.append(f"{facts.capped} table(s) exceeded the row cap: this figure is a LOWER BOUND")
         if op in ("sum", "average") and facts.n > 1:
             warnings.append(f"this figure COMBINES {facts.n} tables; check in the per-table figures that they measure the same")
-        if op in ("sum", "average") and (other := sorted(set(roles) - {"amount"})):
+        if op in ("sum", "average") and (other := sorted(roles - {"amount"})):
             warnings.append(f"some matched columns are not amounts ({', '.join(other)})")
         if op == "count" and facts.sheets:
             warnings.append(f"{facts.sheets} table(s) are property sheets: their ROWS ARE FIELDS, NOT RECORDS; there are {facts.docs} documents")
         if facts.shapes > 1:
             warnings.append(f"these {facts.n} tables have DIFFERENT columns, so their rows are not of one kind")
-        if op != "count" and r.column and (many := tables.where(F.size("candidates") > 1).count()):
+        if op != "count" and (many := sum(x.many for x in seen)):
             warnings.append(f"in {many} table(s) several columns match '{r.column}'; the first was taken")
         if facts.thin:
             out.notes.append(f"{facts.thin} table(s) have more rows than are searchable; this figure covers all of them")
@@ -269,10 +277,14 @@ class FactStore:
             out.overlap["identifiers_in_multiple_tables"] = [x.text for x in self.shared_identifiers(tables).orderBy("text").limit(LISTED).collect()]
         return out
 
-    def _skipped(self, r: Request, tables: DataFrame) -> list[str]:
+    def _skipped(self, r: Request, tables: DataFrame, seen: list) -> list[str]:
         """Reasons for which tables were left out, each with their number."""
-        out = [f"{x.n} table(s) skipped: {x.skip}" for x in tables.where("skip is not null").groupBy("skip").agg(F.count("*").alias("n")).orderBy("skip").collect()] if r.period or r.where_column else []
-        if r.column and (n := self.matched(r).count() - tables.count()):
+        why: dict[str, int] = {}
+        for x in seen:
+            if x.skip is not None:
+                why[x.skip] = why.get(x.skip, 0) + x.n
+        out = [f"{n} table(s) skipped: {reason}" for reason, n in why.items()]
+        if r.column and (n := self.matched(r).count() - sum(x.n for x in seen)):
             out.append(f"{n} table(s) matched '{r.column}' only loosely and are NOT included")
         return out
 
@@ -285,10 +297,10 @@ class FactStore:
             out.closing = self.closing(r, first)
         return out
 
-    def _closed(self, r: Request, tables: DataFrame) -> Result:
+    def _closed(self, r: Request, tables: DataFrame, seen: list) -> Result:
         got = self.closing(r, tables).join(tables.select("table_uid", "source", "sheet", F.col("measure.raw").alias("column"), F.col("measure.role").alias("role")), "table_uid").cache()
         n = got.count()
-        warnings = self._skipped(r, tables)
+        warnings = self._skipped(r, tables, seen)
         if not n:
             return Result(False, "closing", error="no closing value could be read for that column", warnings=warnings)
         if n > 1:

@@ -26,9 +26,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _filled(spark: SparkSession, path: str) -> bool:
+    """Whether a table has any partition."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(p) and any(x.getPath().getName().startswith("part=") for x in fs.listStatus(p))
+
+
 def read_index(spark: SparkSession, index: str) -> dict[str, DataFrame]:
     """The tables of an index; empty if there is none yet."""
-    return {n: spark.read.option("mergeSchema", "true").parquet(f"{index}/{n}") for n in TABLES if _exists(spark, f"{index}/{n}")}
+    return {n: spark.read.option("mergeSchema", "true").parquet(f"{index}/{n}") for n in TABLES if _filled(spark, f"{index}/{n}")}
 
 
 def index_exists(spark: SparkSession, index: str) -> bool:
@@ -51,8 +58,13 @@ def hashing_embedder(dim: int = 64) -> Callable[[DataFrame], DataFrame]:
     return embed
 
 
+def _part(doc_id: str = "doc_id"):
+    """Partition of a document; the letter keeps it a text."""
+    return F.concat(F.lit("h"), F.left(doc_id, F.lit(2))).alias("part")
+
+
 def _write(df: DataFrame, path: str) -> None:
-    df.withColumn("part", F.left("doc_id", F.lit(2))).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    df.withColumn("part", _part()).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
 
 def build_index(spark: SparkSession, folder: str, index: str, embed_model: str = "hashing-64", embed: Callable[[DataFrame], DataFrame] | None = None, rebuild: bool = False) -> dict[str, int]:
@@ -89,14 +101,14 @@ def build_index(spark: SparkSession, folder: str, index: str, embed_model: str =
             "documents": docs, "chunks": (embed or hashing_embedder())(passages_of(parsed, about)), "fact_tables": tables,
             "facts": facts, "fact_values": values.join(facts.select(F.col("id").alias("fact_id"), "doc_id"), "fact_id"),
         }
-        touched = new.select("doc_id").union(gone.select("doc_id")).select(F.left("doc_id", F.lit(2)).alias("part")).distinct()
+        touched = new.select("doc_id").union(gone.select("doc_id")).select(_part()).distinct()
         for n, df in made.items():
             out = df
             if n in old:  # the partitions to rewrite, without pruned and newly parsed documents
                 kept = old[n].join(touched, "part", "left_semi").join(gone, "doc_id", "left_anti").join(new, "doc_id", "left_anti").drop("part")
                 out = df.unionByName(kept, allowMissingColumns=True)
             out = cut(out, f"index-{n}")
-            empty = touched.join(out.select(F.left("doc_id", F.lit(2)).alias("part")).distinct(), "part", "left_anti").collect()  # at most 256
+            empty = touched.join(out.select(_part()).distinct(), "part", "left_anti").collect()  # at most 256
             if not out.isEmpty() or n not in old:
                 _write(out, f"{index}/{n}")
             if n in old:
