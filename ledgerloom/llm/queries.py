@@ -105,7 +105,35 @@ QUERIES = {
 
 _EDGE = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160)"
 
+_KEY = "coalesce(lower(trim(doc_id, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160))), '')"
+
+
+def _near_sql(name: str, key: str, rows: str) -> str:
+    """Pairs of one table by counting shared shingles."""
+    return f"""select '{name}' rec_table, a.id id_a, b.id id_b from {name}_s a join {name}_s b on a.s = b.s and a.id < b.id join {name}_n x on x.id = a.id join {name}_n y on y.id = b.id
+ group by a.id, b.id, x.n, y.n having count(*) >= 0.6 * (x.n + y.n - count(*)) - 1e-9"""
+
+
+def _shingle_sql(name: str, key: str, rows: str) -> str:
+    return f"""{name}_w as (select {key} id, regexp_extract_all(lower(any_value("text")), '[\\p{{L}}\\p{{N}}]+') w from {rows} group by 1),
+ {name}_s as (select distinct id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] s from (select id, w, unnest(range(1, len(w) - 1)) i from {name}_w where len(w) >= 20)), {name}_n as (select id, count(*) n from {name}_s group by 1)"""
+
+
+_NEAR = (("chunks", "id", "(select * from chunks where kind = 'text')"), ("documents", "doc_id", "documents"))
+
 ORACLE = {
+    "p1_found": f"""
+with v as (select id, any_value({_KEY}) d, any_value(embedding::double[]) e from chunks where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by id),
+p as (select a.id, b.id o, list_cosine_similarity(a.e, b.e) c from v a join v b on a.d <> b.d and a.id <> b.id where list_cosine_similarity(a.e, b.e) >= 0.9),
+r as (select *, row_number() over (partition by id order by c desc, o) n from p)
+select distinct least(id, o) chunk_id_a, greatest(id, o) chunk_id_b from r where n <= 10""",
+    "p5_found": "with " + ", ".join(_shingle_sql(*x) for x in _NEAR) + " " + " union all ".join(_near_sql(*x) for x in _NEAR),
+    "p7_found": """
+with i as (select item_id, regexp_extract_all(replace(strip_accents(lower(passage)), 'ß', 'ss'), '[\\p{L}\\p{N}]+') w from eval_items),
+d as (select doc_id, regexp_extract_all(replace(strip_accents(lower("text")), 'ß', 'ss'), '[\\p{L}\\p{N}]+') w from documents),
+ir as (select distinct item_id, list_aggregate(w[k:k + 11], 'string_agg', ' ') s from (select item_id, w, unnest(range(1, len(w) - 10)) k from i)),
+dr as (select doc_id, list_aggregate(w[k:k + 11], 'string_agg', ' ') s from (select doc_id, w, unnest(range(1, len(w) - 10)) k from d))
+select distinct doc_id, item_id from dr join ir on dr.s = ir.s""",
     "p4_found": f"""
 with long as (select id, any_value(trim("text", {_EDGE})) t from chunks where (kind is null or kind <> 'notice') and length(trim("text", {_EDGE})) > 1200 group by id),
 parts as (select id, t, list_max([length(trim(x, {_EDGE})) for x in string_split_regex(regexp_replace(regexp_replace(t, '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), ' [|] ', chr(10), 'g'), '[\\n\\r\\f]')]) stretch,
