@@ -15,13 +15,22 @@ MAX_FILES, MAX_BYTES, MAX_CHUNKS = 20, 50 * 1024 * 1024, 4000
 def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", ttl: int = TTL_SECONDS) -> DataFrame:
     """user, started, last_seen, n_events: activity with gaps of at most ``ttl`` seconds, in batch.
 
-    A gap of exactly ttl keeps the session. Rows without user or time are left out.
+    A gap of exactly ttl keeps the session. Rows without user or time are left
+    out. Activity is put together within each user's days first, so that what
+    is sorted per user is stretches and not events, however active the user is.
     """
-    w = Window.partitionBy(user).orderBy(ts)
-    e = events.where(F.col(user).isNotNull() & F.col(ts).isNotNull()).withColumn("__at", F.unix_micros(F.col(ts).cast("timestamp")))
-    e = e.withColumn("__gap", F.col("__at") - F.lag("__at").over(w))
-    e = e.withColumn("__n", F.sum(F.when(F.col("__gap") > ttl * 1_000_000, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return e.groupBy(F.col(user).alias("user"), "__n").agg(F.min(ts).alias("started"), F.max(ts).alias("last_seen"), F.count("*").alias("n_events")).drop("__n")
+    e = events.where(F.col(user).isNotNull() & F.col(ts).isNotNull()).select(F.col(user).alias("user"), F.col(ts).alias("t"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
+    e = e.select("user", "t", F.col("at").alias("since"), F.col("at").alias("until"), F.lit(1).alias("n"), F.floor(F.col("at") / 86_400_000_000).alias("day"))
+
+    def joined(df: DataFrame, *keys: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("since", "until")
+        opens = F.when(F.col("since") - F.lag("until").over(w) > ttl * 1_000_000, 1).otherwise(0)
+        marked = df.withColumn("__o", opens).withColumn("__n", F.sum("__o").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        first = "started" if "started" in df.columns else "t"
+        last = "last_seen" if "last_seen" in df.columns else "t"
+        return marked.groupBy(*keys, "__n").agg(F.min(first).alias("started"), F.max(last).alias("last_seen"), F.min("since").alias("since"), F.max("until").alias("until"), F.sum("n").alias("n")).drop("__n")
+
+    return joined(joined(e, "user", "day"), "user").select("user", "started", "last_seen", F.col("n").alias("n_events"))
 
 
 def session_stream(events: DataFrame, user: str = "user_id", ts: str = "ts", ttl: int = TTL_SECONDS, late: str = "1 hour") -> DataFrame:
