@@ -71,15 +71,15 @@ def bm25_topk(chunks: DataFrame, query: str, k: int = 50, where: Column | None =
         return _ranked(c.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where("false"), k)
     distinct = list(dict.fromkeys(terms))
     tokens = c.select(F.col(id_col).alias("id"), folded_tokens(F.col(text_col)).alias("tokens"))
-    times = lambda term: F.size(F.filter("tokens", lambda x: x == F.lit(term)))
-    tf = [times(t) for t in distinct]
-    counted = tokens.select("id", F.size("tokens").alias("length"), F.array(*tf).alias("tf"))
+    met = tokens.select("id", F.size("tokens").alias("length"), F.filter("tokens", lambda x: x.isin(*distinct)).alias("met"))
+    times = lambda term: F.size(F.filter("met", lambda x: x == F.lit(term)))
+    counted = met.select("id", "length", F.array(*map(times, distinct)).alias("tf"))
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(distinct))])
-    joined = counted.join(F.broadcast(stats)).where(F.exists("tf", lambda x: x > 0))  # one row of statistics
+    joined = counted.join(F.broadcast(stats))  # one row of statistics
     weight = lambda i: F.lit(float(terms.count(distinct[i]))) * idf(F.col("n"), F.col(f"df{i}"))
     norm = K1 * (1 - B + B * F.col("length") / F.col("mean"))
     score = sum((weight(i) * F.col("tf")[i] * (K1 + 1) / (F.col("tf")[i] + norm) for i in range(len(distinct))), F.lit(0.0))
-    return _ranked(joined.select("id", score.alias("score")), k)
+    return _ranked(joined.select("id", score.alias("score")).where("score > 0"), k)  # on the score, as a filter on tf would count it twice
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, k: int = 6, lexical_weight: float = 1.0) -> DataFrame:
