@@ -197,6 +197,23 @@ def clip(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit - 3)), F.lit("..."))).otherwise(text)
 
 
+def text_blocks(text: Column, limit: int = 1200) -> Column:
+    """Paragraphs of a text put together up to ``limit`` characters, as an array; a heading begins a new block.
+
+    Null and blank texts give an empty array; a longer paragraph stays whole.
+    """
+    paragraphs = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), lambda p: F.btrim(p, F.lit(" \t\r\n"))), lambda p: p != "")
+    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("size"))
+
+    def add(acc: Column, p: Column) -> Column:
+        new = (acc["cur"] != "") & (p.startswith("#") | (acc["size"] + F.length(p) > limit))
+        done = F.when(new, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"])
+        cur = F.when(new | (acc["cur"] == ""), p).otherwise(F.concat(acc["cur"], F.lit("\n\n"), p))
+        return F.struct(done.alias("done"), cur.alias("cur"), F.when(new, F.length(p)).otherwise(acc["size"] + F.length(p)).alias("size"))
+
+    return F.aggregate(paragraphs, empty, add, lambda a: F.when(a["cur"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))))
+
+
 def join_parts(parts: Column) -> Column:
     """Text of a list of parts, nulls and empties left out."""
     return F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), "\n")

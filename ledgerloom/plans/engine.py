@@ -82,6 +82,20 @@ def agg_per_table(t, spark, sf_dir):
     return s.per_table(r, s.resolve(r)).select("table_uid", "rows_matched", F.col("value").alias("result"))
 
 
+@query("select count(*) matched_rows, cast(round(sum(cast(o_totalprice as decimal(38,4))), 2) as double) result from orders where o_custkey = 7")
+def where_number(t, spark, sf_dir):
+    s = orders_store(t)
+    r = Request("sum", column="totalprice", where_column="custkey", where_value="7")
+    return s.total(r, s.resolve(r)).select("matched_rows", F.col("value").alias("result"))
+
+
+@query("select count(*) matched_rows, cast(round(sum(cast(o_totalprice as decimal(38,4))), 2) as double) result from orders where contains(lower(o_orderpriority), 'urgent')")
+def where_contains(t, spark, sf_dir):
+    s = orders_store(t)
+    r = Request("sum", column="totalprice", where_column="orderpriority", where_value="URGENT")
+    return s.total(r, s.resolve(r)).select("matched_rows", F.col("value").alias("result"))
+
+
 # ── the archive's own facts ──────────────────────────────────────────────────
 
 _CELLS = """vals as (select fact_id, regexp_replace(replace(strip_accents(lower(col)), 'ß', 'ss'), '[^0-9a-z]', '', 'g') c, max(num) num, max("text") txt, max("date") d from fact_values where fact_id is not null group by 1, 2),
@@ -118,6 +132,30 @@ def archive_breakdown(t, spark, sf_dir):
     return s.breakdown(r, s.resolve(r))
 
 
+@query(
+    f"with {_CELLS}, m as (select table_uid, list_filter(cols, lambda x: x.role = 'date')[1].name d from cat where contains(lower(source), 'bilanz') and len(list_filter(cols, lambda x: x.name = '2024eur')) > 0) "
+    "select m.table_uid, count(v.num) n_values, max(v.num) greatest from m join f on f.table_uid = m.table_uid and f.row_kind = 'data' left join vals v on v.fact_id = f.id and v.c = '2024eur' group by 1"
+)
+def scope_contains(t, spark, sf_dir):
+    s = archive_store(t)
+    r = Request("max", column="2024 (EUR)", source="BILANZ")
+    return s.rows(r, s.resolve(r)).groupBy("table_uid").agg(F.count("num").alias("n_values"), F.max("num").alias("greatest"))
+
+
+@query(
+    f"with {_CELLS}, m as (select table_uid, list_filter(cols, lambda x: x.role = 'date')[1].name d from cat where len(list_filter(cols, lambda x: x.name = 'saldoeur')) > 0), "
+    "r as (select m.table_uid, v.num, w.d \"day\" from m join f on f.table_uid = m.table_uid and f.row_kind = 'data' join vals v on v.fact_id = f.id and v.c = 'saldoeur' left join vals w on w.fact_id = f.id and w.c = m.d where v.num is not null) "
+    "select table_uid, max(\"day\") \"day\", count(*) n from r group by 1"
+)
+def archive_closing_days(t, spark, sf_dir):
+    """Last day and number of the values that a closing balance is read from, per table."""
+    s = archive_store(t)
+    r = Request("closing", column="Saldo (EUR)")
+    tables = s.resolve(r)
+    n = s.rows(r, tables).where("num is not null").groupBy("table_uid").agg(F.count("*").alias("n"))
+    return s.closing(r, tables).join(n, "table_uid").select("table_uid", "day", "n")
+
+
 @query(
     f"with {_CELLS}, ids as (select table_uid, unnest(list_transform(list_filter(cols, lambda x: x.role = 'identifier'), lambda x: x.name)) c from cat) "
     "select v.\"text\", count(distinct v.table_uid) n_tables from fact_values v join ids on ids.table_uid = v.table_uid and ids.c = regexp_replace(replace(strip_accents(lower(v.col)), 'ß', 'ss'), '[^0-9a-z]', '', 'g') where v.\"text\" <> '' and fact_id is not null group by 1 having count(distinct v.table_uid) > 1"
@@ -239,6 +277,17 @@ def refusals(t, spark, sf_dir):
     return t("eval_items").select("item_id", G.looks_like_refusal(F.col("passage")).alias("refuses"))
 
 
+@query()
+def text_blocks(t, spark, sf_dir):
+    """Blocks of every document; a fold that SQL cannot state, tested against the reader of text files."""
+    return t("documents").select("doc_id", F.posexplode(A.text_blocks(F.col("text"))).alias("nr", "block"))
+
+
+@query("select \"text\" x, trim(regexp_replace(replace(\"text\", chr(10), ' '), '^ +| +$', '', 'g')) cell, case when length(\"text\") > 12 then left(\"text\", 9) || '...' else \"text\" end clipped from (select distinct \"text\" from fact_values where \"text\" is not null)")
+def cell_texts(t, spark, sf_dir):
+    return t("fact_values").where("text is not null").select(F.col("text").alias("x")).distinct().select("x", A.norm_cell(F.col("x")).alias("cell"), A.clip(F.col("x"), 12).alias("clipped"))
+
+
 # ── documents and passages ───────────────────────────────────────────────────
 
 

@@ -85,3 +85,11 @@ def test_answers(spark):
     assert column(spark, [352000.0, 350000.0, 77.0], lambda c: G.derivable(c.cast(G.AMOUNT), dec(2522000, 2170000)), "double") == [True, True, False]
     wrong = lambda c: G.misattributed(c, F.array(F.lit("Q3")), F.array(F.lit("900000")), F.array(F.lit("800000")))
     assert column(spark, ["In Q3 waren es 900.000 EUR.", "In Q3 waren es 800.000 EUR.", "In Q3, im Vergleich 900.000 EUR."], wrong) == [True, False, False]
+
+
+def test_text_blocks(spark):
+    from ledgerloom.sources.files import paragraphs
+
+    texts = ["a\n\nb\n\n# c\n\nd", "x" * 1300 + "\n\ny", "", "  \n\n ", "\n\n".join("w" * 500 for _ in range(7)), "# a\n\n# b"]
+    assert column(spark, texts, A.text_blocks) == [paragraphs(t) for t in texts]
+    assert column(spark, [None], A.text_blocks) == [[]]
