@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,23 @@ def build_session(app: str = "ledgerloom", cores: str | int = "*", **conf) -> Sp
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers once a session, so that it need not be installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ledgerloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="ledgerloom-code-"), "ledgerloom.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("ledgerloom", os.path.relpath(full, root)))
+    sc.addPyFile(target)  # served by the driver
+    sc._ledgerloom_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -51,6 +69,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     of files and not the stages before them.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     spark.__dict__.setdefault("_ledgerloom_cuts", []).append(path)
@@ -67,4 +86,5 @@ def drop_cuts(spark: SparkSession) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

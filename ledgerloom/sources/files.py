@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.archive import guess_lang, infer_doc_type, infer_year
+from ..session import ship
 
 SUFFIXES = (".pdf", ".xlsx", ".xlsm", ".docx", ".csv", ".md", ".txt")
 ROWS_INDEXED, ROWS_TABULATED = 2_000, 200_000
@@ -237,6 +238,7 @@ def elements_of(files: DataFrame, content_col: str = "content", path_col: str =
                 out[c] = out[c].astype("Int32")
             yield out
 
+    ship(files.sparkSession)
     return files.select(path_col, content_col).mapInPandas(run, ELEMENTS)
 
 
