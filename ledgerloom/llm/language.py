@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_pairs
+from ..session import ship
 
 _FOLD = str.maketrans(*fold_pairs())
 ORDER = 4
@@ -259,6 +260,7 @@ def languages(items: DataFrame, id_col: str, text_col: str, hint_col: str, tree:
     extra columns are ignored. The model is fitted on a bounded sample, the
     scoring covers every row and its whole text.
     """
+    ship(items.sparkSession)
     src = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), named_language(F.col(hint_col)).alias("hinted")).where("text is not null")
     kind = src.schema["id"].dataType.simpleString()
     schema = f"id {kind}, hinted string, stretch int, first_word int, n_words int, lang string, confidence double, n_langs int"

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .words import WORD, folded, folded_words
 
 BETWEEN, OTHER = 0, 1
@@ -172,6 +173,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     max_passage_mb) as every task holds their phrases; search larger sets in
     blocks.
     """
+    ship(documents.sparkSession)
     held = items.select(F.col(item_col).alias("item"), F.col(passage_col).alias("passage")).where("item is not null and passage is not null")
     size = held.agg(F.sum(F.octet_length("passage")).alias("b")).first().b or 0
     if size > max_passage_mb * 1_000_000:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..session import cut
+from ..session import cut, ship
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -26,6 +26,7 @@ def count_tokens(documents: DataFrame, id_col: str, source_col: str, text_col: s
     The vocabulary file is read once by the driver and sent to the tasks (its
     size is that of the file). pattern defaults to the vocabulary's own.
     """
+    ship(documents.sparkSession)
     if pattern is None:
         from public_tokenizers import PATTERN as pattern
     with open(tokenizer, "rb") as f:

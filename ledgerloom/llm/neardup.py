@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, ship
 
 #: bits of a token; more than enough to tell the tokens of two records apart
 TOKEN_BITS = 40
@@ -330,6 +330,7 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str, threshold: f
     are ignored; an empty table gives empty results.
     """
     spark = records.sparkSession
+    ship(spark)
     src = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     id_type = src.schema["id"].dataType.simpleString()
     pa_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]

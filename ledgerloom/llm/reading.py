@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, ship
 from .words import WORD
 
 #: words of the vocabulary that every task holds; documents that need more go through a join
@@ -39,6 +39,8 @@ def vocabulary(documents: DataFrame, text_col: str = "text", flush: int = 400_00
     are runs of letters and digits in lower case.
     """
 
+    ship(documents.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
@@ -69,6 +71,7 @@ def coverage(documents: DataFrame, vocab: DataFrame, id_col: str, text_col: str,
     Documents for which it does not suffice are joined with the whole
     vocabulary. Texts without words have rank null.
     """
+    ship(documents.sparkSession)
     top = vocab.where(F.col("rank") <= head).select("word", "rank").collect()
     held = documents.sparkSession.sparkContext.broadcast({r.word: int(r.rank) for r in top})
     src = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import key
-from ..session import cut
+from ..session import cut, ship
 
 #: what one-byte components may be off a cosine
 MARGIN = 0.02
@@ -134,6 +134,7 @@ def similar_vectors(vectors: DataFrame, id_col: str = "id", doc_col: str = "doc_
     leaf boundaries are taken.
     """
     spark = vectors.sparkSession
+    ship(spark)
     src = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.coalesce(key(F.col(doc_col)), F.lit(""))).alias("doc"), F.col(vector_col).alias("v")).where(f"id is not null and v is not null and size(v) = {int(dim)}")
     count = vectors.count()
     share = min(1.0, sample / max(1, count))

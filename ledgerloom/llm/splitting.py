@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: white space around a text that does not count
 EDGE = " \t\n\r\f\v "
 #: natural places: breaks with the blanks around them, blanks after a sentence, ' | '
@@ -142,6 +144,7 @@ def split_items(items: DataFrame, id_col: str = "id", text_col: str = "text", pa
     split once; null and short texts give nothing; extra columns are ignored.
     cut_class is 'clean', 'word' or 'hard' as for the whole item.
     """
+    ship(items.sparkSession)
     page = F.col(page_col).cast("int") if page_col else F.lit(None).cast("int")
     long = (
         items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), page.alias("page"))
