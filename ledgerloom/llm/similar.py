@@ -1,12 +1,14 @@
-"""Most similar vectors for every vector by a hash-prefix forest.
-
-Each tree is a sorted array of long hash strings (signs of random projections
-around the mean). A vector descends to its place, where the entries with the
-longest prefix in common stand around it, and ascends to shorter common
-prefixes, in all trees by the same number of entries on either side. The arrays
-are cut into leaves at quantiles of a bounded sample, so a tree is as many
-tasks as its size asks for; every row is indexed. What the trees bring up is
-filtered with one-byte components, then compared exactly.
+"""Most similar vectors for every vector by a forest of split trees.
+
+A node of a tree is split by a projection on the difference of two of its own
+vectors at the median, so a dense cluster is split as finely as any other
+place. The upper splits come from a bounded sample and give the leaves, as many
+as the size asks for; the task of a leaf goes on splitting what it holds, each
+tree in an order of its own, and so puts its entries in a row. An entry is
+compared with those around it in the row, and ascends, twice as far each time
+and at most over the whole leaf, until what lies further out no longer changes
+its best candidates. Every row is indexed. Candidates are found with one-byte
+components, then compared exactly.
 
 Equal vectors are one entry. Of their rows at most ``2k`` are listed as
 neighbours, at most k of one document: whatever document a query belongs to, k
@@ -60,28 +62,53 @@ def unit(v: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-class Forest:
-    """Projections of all trees, the mean, and the leaf boundaries of each tree."""
+def along(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """Projection of each row on the plane of the same place, whatever rows stand beside it."""
+    return np.einsum("ij,ij->i", x, planes)
 
-    def __init__(self, sample: np.ndarray, mean: np.ndarray, trees: int, bits: int, leaves: int, seed: int):
-        self.trees, self.bits, self.mean = trees, bits, mean.astype(np.float32)
-        self.planes = np.random.default_rng(seed).standard_normal((len(mean), trees * bits)).astype(np.float32)
-        h = np.sort(self.hashes(sample), axis=0)
-        at = (np.arange(1, leaves) * len(h)) // leaves
-        self.cuts = [h[at, t] if len(h) else np.zeros(0, np.uint64) for t in range(trees)]
 
-    def hashes(self, u: np.ndarray) -> np.ndarray:
-        """Hash string of each vector in each tree, as an integer."""
-        out = np.zeros((len(u), self.trees), np.uint64)
-        weight = 2.0 ** np.arange(self.bits - 1, -1, -1)
-        for a in range(0, len(u), 4096):
-            sign = ((u[a : a + 4096] - self.mean) @ self.planes > 0).reshape(-1, self.trees, self.bits)
-            out[a : a + 4096] = (sign @ weight).astype(np.uint64)
-        return out
+class Forest:
+    """The upper splits of all trees, nodes numbered as in a heap; 2^depth leaves a tree."""
+
+    def __init__(self, sample: np.ndarray, dim: int, trees: int, depth: int, seed: int):
+        self.trees, self.depth, self.leaves = trees, depth, 1 << depth
+        self.planes = np.zeros((trees, self.leaves - 1, dim), np.float32)
+        self.at = np.zeros((trees, self.leaves - 1), np.float32)
+        rng = np.random.default_rng(seed)
+        u = np.unique(sample, axis=0)
+        for t in range(trees):
+            nodes = [np.arange(len(u))]
+            for n in range(self.leaves - 1):
+                own = nodes[n]
+                if len(own) > 1:
+                    p, q = rng.choice(own, 2, replace=False)
+                    self.planes[t, n] = u[p] - u[q]
+                    x = along(u[own], np.broadcast_to(self.planes[t, n], (len(own), dim)))
+                    self.at[t, n] = np.median(x)
+                    nodes += [own[x <= self.at[t, n]], own[x > self.at[t, n]]]
+                else:
+                    nodes += [own, own[:0]]
+
+    def leaf(self, u: np.ndarray, t: int) -> np.ndarray:
+        n = np.zeros(len(u), np.int64)
+        for _ in range(self.depth):
+            n = 2 * n + 1 + (along(u, self.planes[t][n]) > self.at[t][n])
+        return n - (self.leaves - 1)
+
+
+def in_a_row(x: np.ndarray, rng: np.random.Generator, least: int = 32) -> np.ndarray:
+    """Order of the vectors after halving them again and again, down to ``least``, along differences of two members."""
+    order, bounds = np.arange(len(x)), np.array([0, len(x)])
+    while (size := np.diff(bounds)).max(initial=0) > least:
+        p, q = (order[bounds[:-1] + (rng.random(len(size)) * size).astype(np.int64)] for _ in range(2))
+        node = np.repeat(np.arange(len(size)), size)
+        order = order[np.lexsort((along(x[order], (x[p] - x[q])[node]), node))]
+        bounds = np.union1d(bounds, (bounds[:-1] + size // 2)[size > least])
+    return order
 
 
 def entry_type(dim: int) -> np.dtype:
-    return np.dtype([("hash", "<u8"), ("key", "<i8"), ("doc", "<i8"), ("scale", "<f4"), ("v", "i1", (dim,))])
+    return np.dtype([("key", "<i8"), ("doc", "<i8"), ("scale", "<f4"), ("v", "i1", (dim,))])
 
 
 def entries(u: np.ndarray, keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -92,34 +119,64 @@ def entries(u: np.ndarray, keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return e
 
 
-def search_leaf(e: np.ndarray, window: int, least: float, keep: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """(key, key of a candidate): for each entry at most ``keep`` of the 2 * window around it in the sorted array."""
-    order = np.lexsort((e["key"], e["hash"]))
-    e = e[order]
-    first = np.concatenate([[True], e["key"][1:] != e["key"][:-1]])
-    start = np.flatnonzero(first)
+def best(i: np.ndarray, j: np.ndarray, s: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the candidates j of entries i with cosines s, the best ``keep`` of each entry."""
+    o = np.lexsort((-s, i))
+    i, j, s = i[o], j[o], s[o]
+    head = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
+    nth = np.arange(len(i)) - np.repeat(head, np.diff(np.append(head, len(i))))
+    return i[nth < keep], j[nth < keep], s[nth < keep]
+
+
+def search_leaf(e: np.ndarray, window: int, least: float, keep: int, seed: int = 0, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, key of a candidate): for each entry its ``keep`` best, sought around it and further out until they stay the same."""
+    e = e[np.argsort(e["key"], kind="stable")]
+    start = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1]]))
     low, high = np.minimum.reduceat(e["doc"], start), np.maximum.reduceat(e["doc"], start)
     e = e[start]
     doc = np.where(low == high, low, SEVERAL)
     x = e["v"].astype(np.float32) * e["scale"][:, None]
-    a_out, b_out = [], []
-    for a in range(0, len(e), block):
-        b, lo, hi = min(a + block, len(e)), max(0, a - window), min(len(e), a + block + window)
-        s = x[a:b] @ x[lo:hi].T
-        i, j = np.nonzero(s >= least)
-        ok = (i + a != j + lo) & ((doc[i + a] != doc[j + lo]) | (doc[i + a] == SEVERAL))
-        i, j = i[ok], j[ok]
-        if not len(i):
-            continue
-        o = np.lexsort((-s[i, j], i))
-        i, j = i[o], j[o]
-        head = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
-        nth = np.arange(len(i)) - np.repeat(head, np.diff(np.append(head, len(i))))
-        i, j = i[nth < keep], j[nth < keep]
-        a_out.append(e["key"][i + a])
-        b_out.append(e["key"][j + lo])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *a_out]), np.concatenate([none, *b_out])
+    row = in_a_row(x, np.random.default_rng(seed))
+    e, doc, x = e[row], doc[row], x[row]
+    n = len(e)
+
+    def compare(rows: np.ndarray, lo: int, hi: int, inner: tuple[int, int], floor: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Candidates of rows among lo to hi; which rows have near entries out of inner, of whatever document."""
+        s = x[rows] @ x[lo:hi].T
+        own = np.arange(max(lo, rows[0]), min(hi, rows[-1] + 1))
+        own = own[np.isin(own, rows)]
+        s[np.searchsorted(rows, own), own - lo] = -2
+        rim = (s[:, : max(0, inner[0] - lo)].max(1, initial=-2) >= floor) | (s[:, max(0, inner[1] - lo) :].max(1, initial=-2) >= floor)
+        s[(doc[rows, None] == doc[None, lo:hi]) & (doc[rows, None] != SEVERAL)] = -2
+        many = np.flatnonzero((s >= floor[:, None]).sum(1) > keep)
+        if len(many):
+            floor = floor.copy()
+            floor[many] = np.partition(s[many], s.shape[1] - keep, axis=1)[:, s.shape[1] - keep]
+        i, j = np.nonzero(s >= floor[:, None])
+        return rows[i], j + lo, s[i, j], rows[rim]
+
+    for a in range(0, n, block):
+        rows, w = np.arange(a, min(a + block, n)), window
+        lo, hi, inner = max(0, a - w), min(n, a + block + w), (max(0, a - w // 2), min(n, a + block + w // 2))
+        i, j, s, rim = compare(rows, lo, hi, inner, np.full(len(rows), least, np.float32))
+        while True:
+            i, j, s = best(i, j, s, keep)
+            count = np.bincount(i - a, minlength=block)
+            # what stands at the rim may only be of the entry's own document: then others may stand behind it
+            rows = np.union1d(i[(j < inner[0]) | (j >= inner[1])], rim[count[rim - a] < keep])
+            if not len(rows) or (lo, hi) == (0, n):
+                break
+            floor = np.full(block, least, np.float32)
+            last = np.flatnonzero(np.append(i[1:] != i[:-1], True)) if len(i) else np.zeros(0, np.int64)
+            last = last[count[i[last] - a] >= keep]
+            floor[i[last] - a] = s[last]
+            inner, w = (lo, hi), 2 * w
+            lo, hi = max(0, a - w), min(n, a + block + w)
+            more = [compare(rows, *r, (r[1], r[1]), floor[rows - a]) for r in ((lo, inner[0]), (inner[1], hi)) if r[0] < r[1]]
+            i, j, s = (np.concatenate([z, *(m[k] for m in more)]) for k, z in enumerate((i, j, s)))
+            rim = np.concatenate([m[3] for m in more])
+        if len(i):
+            yield e["key"][i], e["key"][j]
 
 
 def similar_vectors(vectors: DataFrame, id_col: str = "id", doc_col: str = "doc_id", vector_col: str = "embedding", k: int = 10, least: float = 0.9, dim: int = 64, trees: int = 12, bits: int = 40, window: int = 128, leaf_rows: int = 16_384, sample: int = 20_000, seed: int = 11) -> DataFrame:
@@ -130,8 +187,10 @@ def similar_vectors(vectors: DataFrame, id_col: str = "id", doc_col: str = "doc_
     document is a document of its own. A row delivered twice counts once; equal
     vectors are neighbours like any other; extra columns are ignored; an empty
     table gives no rows. Approximate: a neighbour is missed if in no tree it
-    stands within ``window`` entries. ``sample`` bounds the rows from which the
-    leaf boundaries are taken.
+    stands in the same leaf, or if the search ends before it: that begins with
+    ``window`` entries on either side and ends when the outer half holds none
+    of the best. ``sample`` bounds the rows from which the upper splits are
+    taken, ``bits`` their depth.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -144,28 +203,27 @@ def similar_vectors(vectors: DataFrame, id_col: str = "id", doc_col: str = "doc_
     floats = pa.list_(pa.float32())
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(dim), 0
+        n = 0
         for batch in batches:
             rows, v = usable(batch.column("v"), dim)
             if not len(rows):
                 continue
             u, at = unit(v), pa.array(rows)
-            total, n = total + u.sum(0, dtype=np.float64), n + len(u)
+            n += len(u)
             yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("doc").take(at), pa.array(vector_keys(v)), none(len(rows), floats)], names)
             chosen = np.flatnonzero(np.asarray(batch.column("pick").take(at)))
             yield pa.RecordBatch.from_arrays([none(len(chosen), pa.int64()), pa.array(np.ones(len(chosen), np.int64)), none(len(chosen), pa.int64()), pa.array(list(u[chosen]), floats)], names)
         if n:
-            yield pa.RecordBatch.from_arrays([none(1, pa.int64()), pa.array([0]), pa.array([n]), pa.array([total.astype(np.float32)], floats)], names)
+            yield pa.RecordBatch.from_arrays([none(1, pa.int64()), pa.array([0]), pa.array([n]), none(1, floats)], names)
 
     surveyed = cut(src.withColumn("pick", pick).mapInArrow(survey, "id bigint, doc bigint, key bigint, v array<float>"), "vectors")
     members = surveyed.where("id is not null").select("id", "doc", "key").dropDuplicates(["id"])
-    sums = surveyed.where("id is null and doc = 0").select(F.sum("key").alias("n"), *[F.sum(F.col("v")[i].cast("double")).alias(f"s{i}") for i in range(dim)]).first()
-    n = sums.n or 0
-    mean = np.array([(sums[f"s{i}"] or 0.0) / max(1, n) for i in range(dim)])
+    n = surveyed.where("id is null and doc = 0").agg(F.sum("key").alias("n")).first().n or 0
     taken = surveyed.where("id is null and doc = 1").select("v").toArrow().column(0).combine_chunks()  # bounded by sample
     taken = np.asarray(taken.flatten(), np.float32).reshape(-1, dim)
-    leaves = max(1, math.ceil(n / leaf_rows))
-    held = spark.sparkContext.broadcast(Forest(taken, mean, trees, bits, leaves, seed))
+    depth = min(bits, math.ceil(math.log2(max(1, n / leaf_rows))), max(1, len(taken)).bit_length() - 1)
+    leaves = 1 << depth
+    held = spark.sparkContext.broadcast(Forest(taken, dim, trees, depth, seed))
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = held.value
@@ -176,11 +234,10 @@ def similar_vectors(vectors: DataFrame, id_col: str = "id", doc_col: str = "doc_
             keys, docs = vector_keys(v), np.asarray(batch.column("doc").take(pa.array(rows)))
             pair, first = np.unique(np.stack([keys, docs], 1), axis=0, return_index=True)  # copies cost one entry a batch and document
             u = unit(v[first])
-            e, h = entries(u, keys[first], docs[first]), forest.hashes(u)
+            e = entries(u, keys[first], docs[first])
             parts, blobs = [], []
             for t in range(forest.trees):
-                e["hash"] = h[:, t]
-                leaf = np.searchsorted(forest.cuts[t], h[:, t], side="right")
+                leaf = forest.leaf(u, t)
                 order = np.argsort(leaf, kind="stable")
                 ends = np.searchsorted(leaf[order], np.arange(leaves), side="right")
                 a = 0
@@ -197,8 +254,9 @@ def similar_vectors(vectors: DataFrame, id_col: str = "id", doc_col: str = "doc_
             for p, blob in zip(batch.column("part").to_pylist(), batch.column("entries").to_pylist()):
                 by.setdefault(p, []).append(blob)
         for p in list(by):
-            a, b = search_leaf(np.frombuffer(b"".join(by.pop(p)), entry_type(dim)), window, least - MARGIN, 2 * k + 4)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            found = [np.stack([np.minimum(a, b), np.maximum(a, b)]) for a, b in search_leaf(np.frombuffer(b"".join(by.pop(p)), entry_type(dim)), window, least - MARGIN, 2 * k + 4, p)]
+            a, b = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), leaves * 2)
     planted = src.mapInArrow(plant, "part int, entries binary").repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int"))

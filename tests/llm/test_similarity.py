@@ -59,3 +59,21 @@ def test_similar_vectors_against_brute_force(spark):
         want |= {(i, j) for s, j in c[:4] if -s >= 0.9}
     assert len(got & want) / len(want) > 0.97 and len(got) == len(want)
     assert similar_vectors(df.where("false"), dim=8).count() == 0
+
+
+def test_similar_vectors_in_a_dense_cluster(spark):
+    """A third of the rows lie close together, in more leaves than one."""
+    rng = np.random.default_rng(4)
+    n, dim = 9000, 64
+    v = rng.standard_normal((n, dim))
+    v[::3] = 5 * rng.standard_normal(dim) + rng.standard_normal((n // 3, dim))
+    df = spark.createDataFrame([(i, f"d{i // 2}", [float(x) for x in e]) for i, e in enumerate(v)], "id long, doc_id string, embedding array<float>")
+    got = {(r.id, r.neighbour) for r in similar_vectors(df, leaf_rows=2000).collect()}
+    u = v.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = set()
+    for i in range(0, n, 30):
+        s = u @ u[i]
+        s[[j for j in (i - i % 2, i - i % 2 + 1) if j < n]] = -1
+        want |= {(i, int(j)) for j in np.argsort(-s)[:10] if s[j] >= 0.9}
+    assert len(want) > 2000 and len(got & want) / len(want) > 0.995
