@@ -7,8 +7,8 @@ as the size asks for; the task of a leaf goes on splitting what it holds, each
 tree in an order of its own, and so puts its entries in a row. An entry is
 compared with those around it in the row, and ascends, twice as far each time
 and at most over the whole leaf, until what lies further out no longer changes
-its best candidates. Every row is indexed. Candidates are found with one-byte
-components, then compared exactly.
+its best candidates. Every row is indexed. Candidates are found with two-byte
+components; all that may be among the best k by these are then compared exactly.
 
 Equal vectors are one entry. Of their rows at most ``2k`` are listed as
 neighbours, at most k of one document: whatever document a query belongs to, k
@@ -29,8 +29,6 @@ from pyspark.sql.window import Window
 from ..functions.text import key
 from ..session import cut, ship
 
-#: what one-byte components may be off a cosine
-MARGIN = 0.02
 #: document of an entry whose rows are of several documents
 SEVERAL = -1
 FILTER_BITS = 20
@@ -108,34 +106,63 @@ def in_a_row(x: np.ndarray, rng: np.random.Generator, least: int = 32) -> np.nda
 
 
 def entry_type(dim: int) -> np.dtype:
-    return np.dtype([("key", "<i8"), ("doc", "<i8"), ("scale", "<f4"), ("v", "i1", (dim,))])
+    return np.dtype([("key", "<i8"), ("doc", "<i8"), ("v", "<i2", (dim,))])
 
 
 def entries(u: np.ndarray, keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     e = np.zeros(len(u), entry_type(u.shape[1]))
     most = np.abs(u).max(1)
-    q = np.rint(u * (127 / most)[:, None])
-    e["key"], e["doc"], e["v"], e["scale"] = keys, docs, q, 1 / np.linalg.norm(q, axis=1)
+    e["key"], e["doc"], e["v"] = keys, docs, np.rint(u * (32767 / most)[:, None])
     return e
 
 
-def best(i: np.ndarray, j: np.ndarray, s: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the candidates j of entries i with cosines s, the best ``keep`` of each entry."""
-    o = np.lexsort((-s, i))
-    i, j, s = i[o], j[o], s[o]
-    head = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
-    nth = np.arange(len(i)) - np.repeat(head, np.diff(np.append(head, len(i))))
-    return i[nth < keep], j[nth < keep], s[nth < keep]
+def slack(s: np.ndarray, dim: int) -> np.ndarray:
+    """What two-byte components may be off cosines: each vector turns by at most sqrt(dim) / 65534; 4e-6 for single precision."""
+    turn = math.sqrt(dim) / 32767
+    return turn * np.sqrt(np.maximum(0, 1 - s * s)) + turn * turn + 4e-6
+
 
+def best(i: np.ndarray, j: np.ndarray, s: np.ndarray, doc: np.ndarray, k: int, dim: int) -> tuple[np.ndarray, ...]:
+    """Of the candidates j of entries i with cosines s, all that may be among the k best of a row of the entry; entries with k such and the least cosine that may be.
 
-def search_leaf(e: np.ndarray, window: int, least: float, keep: int, seed: int = 0, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(key, key of a candidate): for each entry its ``keep`` best, sought around it and further out until they stay the same."""
+    A row of an entry of several documents does not count candidates of its own
+    document, so there the candidates of any one document do not count.
+    """
+    o = np.lexsort((-s, i))
+    i, j, s = i[o], j[o], s[o]
+    if not len(i):
+        return i, j, s, i, s
+    first = np.concatenate([[True], i[1:] != i[:-1]])
+    head = np.flatnonzero(first)
+    entry = np.cumsum(first) - 1
+    count = np.arange(len(i)) - head[entry] + 1
+    at = np.flatnonzero((doc[i] == SEVERAL) & (doc[j] != SEVERAL))
+    if len(at):
+        same = at[np.lexsort((at, doc[j[at]], i[at]))]
+        start = np.concatenate([[True], (i[same][1:] != i[same][:-1]) | (doc[j[same]][1:] != doc[j[same]][:-1])])
+        one = np.zeros(len(i), np.int64)
+        one[same] = np.arange(len(same)) - np.flatnonzero(start)[np.cumsum(start) - 1] + 1
+        count = count - (np.maximum.accumulate(one + entry * (len(i) + 1)) - entry * (len(i) + 1))
+    kth = np.flatnonzero(count == k)
+    full, at = np.unique(i[kth], return_index=True)
+    bar = s[kth[at]]
+    bar = bar - slack(bar, dim)
+    least = np.full(head.size, -2.0)
+    least[entry[kth[at]]] = bar
+    keep = s + slack(s, dim) >= least[entry]
+    return i[keep], j[keep], s[keep], full, bar
+
+
+def search_leaf(e: np.ndarray, window: int, least: float, k: int, seed: int = 0, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, key of a candidate): for each entry all that may be among the ``k`` best of its rows, sought around it and further out until they stay the same."""
     e = e[np.argsort(e["key"], kind="stable")]
     start = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1]]))
     low, high = np.minimum.reduceat(e["doc"], start), np.maximum.reduceat(e["doc"], start)
     e = e[start]
     doc = np.where(low == high, low, SEVERAL)
-    x = e["v"].astype(np.float32) * e["scale"][:, None]
+    x = unit(e["v"])
+    dim = x.shape[1]
+    least = least - float(slack(np.float64(least), dim)) - 2 * dim / 32767**2
     row = in_a_row(x, np.random.default_rng(seed))
     e, doc, x = e[row], doc[row], x[row]
     n = len(e)
@@ -148,10 +175,11 @@ def search_leaf(e: np.ndarray, window: int, least: float, keep: int, seed: int =
         s[np.searchsorted(rows, own), own - lo] = -2
         rim = (s[:, : max(0, inner[0] - lo)].max(1, initial=-2) >= floor) | (s[:, max(0, inner[1] - lo) :].max(1, initial=-2) >= floor)
         s[(doc[rows, None] == doc[None, lo:hi]) & (doc[rows, None] != SEVERAL)] = -2
-        many = np.flatnonzero((s >= floor[:, None]).sum(1) > keep)
+        many = np.flatnonzero(((s >= floor[:, None]).sum(1) > k) & (doc[rows] != SEVERAL))
         if len(many):
+            bar = np.partition(s[many], s.shape[1] - k, axis=1)[:, s.shape[1] - k]
             floor = floor.copy()
-            floor[many] = np.partition(s[many], s.shape[1] - keep, axis=1)[:, s.shape[1] - keep]
+            floor[many] = np.maximum(floor[many], bar - 2 * slack(bar, dim) - 2 * dim / 32767**2)
         i, j = np.nonzero(s >= floor[:, None])
         return rows[i], j + lo, s[i, j], rows[rim]
 
@@ -160,16 +188,13 @@ def search_leaf(e: np.ndarray, window: int, least: float, keep: int, seed: int =
         lo, hi, inner = max(0, a - w), min(n, a + block + w), (max(0, a - w // 2), min(n, a + block + w // 2))
         i, j, s, rim = compare(rows, lo, hi, inner, np.full(len(rows), least, np.float32))
         while True:
-            i, j, s = best(i, j, s, keep)
-            count = np.bincount(i - a, minlength=block)
+            i, j, s, full, bar = best(i, j, s, doc, k, dim)
             # what stands at the rim may only be of the entry's own document: then others may stand behind it
-            rows = np.union1d(i[(j < inner[0]) | (j >= inner[1])], rim[count[rim - a] < keep])
+            rows = np.union1d(i[(j < inner[0]) | (j >= inner[1])], np.setdiff1d(rim, full))
             if not len(rows) or (lo, hi) == (0, n):
                 break
             floor = np.full(block, least, np.float32)
-            last = np.flatnonzero(np.append(i[1:] != i[:-1], True)) if len(i) else np.zeros(0, np.int64)
-            last = last[count[i[last] - a] >= keep]
-            floor[i[last] - a] = s[last]
+            floor[full - a] = np.maximum(least, bar - slack(bar, dim) - 2 * dim / 32767**2)
             inner, w = (lo, hi), 2 * w
             lo, hi = max(0, a - w), min(n, a + block + w)
             more = [compare(rows, *r, (r[1], r[1]), floor[rows - a]) for r in ((lo, inner[0]), (inner[1], hi)) if r[0] < r[1]]
@@ -254,7 +279,7 @@ def similar_vectors(vectors: DataFrame, id_col: str = "id", doc_col: str = "doc_
             for p, blob in zip(batch.column("part").to_pylist(), batch.column("entries").to_pylist()):
                 by.setdefault(p, []).append(blob)
         for p in list(by):
-            found = [np.stack([np.minimum(a, b), np.maximum(a, b)]) for a, b in search_leaf(np.frombuffer(b"".join(by.pop(p)), entry_type(dim)), window, least - MARGIN, 2 * k + 4, p)]
+            found = [np.stack([np.minimum(a, b), np.maximum(a, b)]) for a, b in search_leaf(np.frombuffer(b"".join(by.pop(p)), entry_type(dim)), window, least, k, p)]
             a, b = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 

@@ -77,3 +77,18 @@ def test_similar_vectors_in_a_dense_cluster(spark):
         s[[j for j in (i - i % 2, i - i % 2 + 1) if j < n]] = -1
         want |= {(i, int(j)) for j in np.argsort(-s)[:10] if s[j] >= 0.9}
     assert len(want) > 2000 and len(got & want) / len(want) > 0.995
+
+
+def test_similar_vectors_of_a_row_among_many_of_its_document(spark):
+    """One of 60 near passages of a document has a copy in another one; its neighbours elsewhere are further off than the 60."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal(16)
+    v = np.concatenate([base + 0.01 * rng.standard_normal((60, 16)), base + 0.1 * rng.standard_normal((15, 16))])
+    v = np.concatenate([v, v[:1]]).astype(np.float32).astype(float)
+    doc = ["heavy"] * 60 + [f"d{i}" for i in range(15)] + ["copy"]
+    df = spark.createDataFrame([(i, d, [float(x) for x in e]) for i, (d, e) in enumerate(zip(doc, v))], "id long, doc_id string, embedding array<float>")
+    got = {(r.id, r.neighbour) for r in similar_vectors(df, dim=16).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T
+    want = {(i, j) for i in range(len(v)) for j in sorted((j for j in range(len(v)) if doc[j] != doc[i] and s[i, j] >= 0.9), key=lambda j: (-round(s[i, j], 12), j))[:10]}
+    assert got == want
