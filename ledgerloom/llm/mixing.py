@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..session import cut, ship
 
+#: as total_tokens: as many tokens as the target sources have
+AVAILABLE = "available"
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -77,7 +79,7 @@ def plan_repeats(available: dict[str, int], targets: list[tuple[str, float, int
     return out
 
 
-def mix_sources(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", total_tokens: float | None = None, seed: int = 7, tokenizer: str = TOKENIZER, pattern: str | None = None, max_sources: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def mix_sources(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", total_tokens: float | str | None = None, seed: int = 7, tokenizer: str = TOKENIZER, pattern: str | None = None, max_sources: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """(copies, shares) of a mixture in which every source has its target share of all tokens.
 
     copies: source, doc_id, copy, n_tokens, one row per emitted copy. Within a
@@ -90,7 +92,10 @@ def mix_sources(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id"
     those without documents with zeros and target_share 0. Target names given
     twice are added up (the smaller cap holds); documents delivered twice count
     once; null sources and texts without tokens are left out. Targets are a
-    small list (checked against max_sources).
+    small list (checked against max_sources). Without total_tokens every share
+    is met, however small the mixture; with AVAILABLE the mixture is about as
+    large as the target sources, those that reach their cap fall short of their
+    share, and shares says by how much.
     """
     spark = documents.sparkSession
     rows = targets.select(source_name(F.col("source")).alias("source"), "weight", "max_repeats").where("source is not null and weight is not null").limit(max_sources + 1).collect()
@@ -107,6 +112,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id"
     kept = cut(sized.repartitionByRange("source", "n_tokens", F.xxhash64("id", F.lit(seed)), "id").withColumn("part", F.spark_partition_id()), "mixing")
     parts = kept.groupBy("source", "part").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"), F.min("n_tokens").alias("least"))
     available = {r.source: r.t for r in parts.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+    if total_tokens == AVAILABLE:
+        total_tokens = sum(available.values())
     repeats = plan_repeats(available, [(s, w, cap) for s, (w, cap) in wanted.items()], total_tokens)
     whole = sum(wanted[s][0] for s in repeats)
     plan = spark.createDataFrame([(s, float(w), cap, wanted[s][0] / whole if s in repeats else 0.0, repeats.get(s, 0.0)) for s, (w, cap) in wanted.items()], "source string, weight double, max_repeats int, target_share double, repeats double")

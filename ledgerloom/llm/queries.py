@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .language import languages
 from .leakage import find_leaks
-from .mixing import mix_sources
+from .mixing import AVAILABLE, mix_sources
 from .neardup import link_counts, near_duplicates, record_pairs
 from .reading import reading_profile
 from .similar import similar_vectors
@@ -76,12 +76,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of the mixture."""
-    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), total_tokens=AVAILABLE)[0]
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual shares of the mixture."""
-    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), total_tokens=AVAILABLE)[1]
 
 
 def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:

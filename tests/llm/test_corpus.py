@@ -75,6 +75,18 @@ def test_mixture(spark):
     assert mix_sources(docs, targets.where("false"))[0].count() == 0
 
 
+def test_registered_mixture_is_not_shrunk_to_its_smallest_source(spark, tmp_path):
+    from ledgerloom.llm.queries import p8_mixture, p8_shares
+
+    rows = [(i, "big", "wort " * 40) for i in range(200)] + [(1000 + i, "mid", "text " * 40) for i in range(100)] + [(2000, "tiny", "kurz")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("big", 0.5, 1), ("mid", 0.4, 3), ("tiny", 0.1, 4)], "source string, weight double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    s = {x.source: x for x in p8_shares(spark, str(tmp_path)).collect()}
+    assert sum(x.tokens for x in s.values()) > 0.95 * sum(x.available_tokens for x in s.values())
+    assert s["tiny"].repeats == 4 and s["tiny"].actual_share < s["tiny"].target_share and all(x.repeats <= x.max_repeats for x in s.values())
+    assert p8_mixture(spark, str(tmp_path)).where("source = 'big'").select("doc_id").distinct().count() > 160  # 5 / 9 of 12,000 tokens
+
+
 def test_coverage_against_brute_force(spark):
     r = random.Random(9)
     texts = [" ".join(f"w{int(r.paretovariate(0.7)) % 300}" for _ in range(r.randint(0, 80))) for _ in range(60)] + ["", None]
