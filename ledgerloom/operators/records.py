@@ -64,18 +64,25 @@ def within_budget(df: DataFrame, size: str, order: list[Column], budget: float,
 def padded_subset(documents: DataFrame, chunks: DataFrame, targets: DataFrame, budget: int, seed: str = "0") -> DataFrame:
     """doc_id, n_chunks: the target documents, padded with others in the order of a seeded hash up to a number of passages.
 
-    Only the padding is cut by a running sum; it is taken in hash ranges, so no
-    task holds more than the rows up to the budget.
+    Only the padding is cut by a running sum, over at most as many documents
+    with passages as there is room for; documents without passages come out as
+    far as the sum reaches. Targets beyond the budget get no padding.
     """
     n = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
     sized = documents.select("doc_id").distinct().join(n, "doc_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
     wanted = sized.join(targets.select("doc_id").distinct(), "doc_id", "left_semi")
     used = wanted.agg(F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("used")).first().used
     rest = sized.join(wanted, "doc_id", "left_anti").withColumn("h", F.md5(F.concat(F.lit(seed), F.lit(":"), F.col("doc_id").cast("string"))))
-    room = max(0, budget - used)
-    first = rest.orderBy("h", "doc_id").limit(room + 1)  # a document has at least one passage or costs nothing
+    room = budget - used
+    if room < 0:
+        return wanted
+    first = rest.where("n_chunks > 0").orderBy("h", "doc_id").limit(room + 1)
     pad = within_budget(first, "n_chunks", [F.col("h"), F.col("doc_id")], room)
-    return wanted.unionByName(pad.select("doc_id", "n_chunks"))
+    beyond = first.join(pad, "doc_id", "left_anti").orderBy("h", "doc_id").first()
+    free = rest.where("n_chunks = 0")
+    if beyond is not None:
+        free = free.where((F.col("h") < beyond.h) | (F.col("h") == beyond.h) & (F.col("doc_id") < F.lit(beyond.doc_id)))
+    return wanted.unionByName(pad.unionByName(free).select("doc_id", "n_chunks"))
 
 
 def parse_status(kinds: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import datetime as dt
 
 import pytest
@@ -84,3 +85,16 @@ def test_session_registry(spark):
     assert r.frames["a"]["chunks"].count() == 3
     r.bind("t", "a")
     assert r.reap(20) == ["a"] and not r.frames and not r.threads
+
+
+def test_padding_with_documents_without_passages(spark):
+    docs = spark.createDataFrame([(f"d{i}",) for i in range(30)], "doc_id string")
+    chunks = spark.createDataFrame([("d3",), ("d3",), ("d17",), ("d21",), ("d21",)], "doc_id string")
+    targets = docs.where("doc_id = 'd3'")
+    n = {"d3": 2, "d17": 1, "d21": 2}
+    for budget in (1, 2, 3, 4, 9):
+        want, total = {"d3"}, 2
+        for _, d in sorted((hashlib.md5(f"0:d{i}".encode()).hexdigest(), f"d{i}") for i in range(30) if i != 3):
+            total += n.get(d, 0)
+            want |= {d} if total <= budget else set()
+        assert {r.doc_id for r in R.padded_subset(docs, chunks, targets, budget).collect()} == want
