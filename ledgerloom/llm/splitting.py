@@ -141,7 +141,7 @@ def split_items(items: DataFrame, id_col: str = "id", text_col: str = "text", pa
     out; pieces count from 0 in order, shared is the number of characters taken
     over from the piece before, page the page on which the piece starts (a form
     feed starts the next one; unknown stays null). A record delivered twice is
-    split once; null and short texts give nothing; extra columns are ignored.
+    split once, rows with a null id each for themselves; null and short texts give nothing; extra columns are ignored.
     cut_class is 'clean', 'word' or 'hard' as for the whole item.
     """
     ship(items.sparkSession)
@@ -149,7 +149,9 @@ def split_items(items: DataFrame, id_col: str = "id", text_col: str = "text", pa
     long = (
         items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), page.alias("page"))
         .where(F.length(F.btrim("text", F.lit(EDGE))) > limit)
-        .dropDuplicates(["id"])
+        .withColumn("nameless", F.when(F.col("id").isNull(), F.monotonically_increasing_id()))
+        .dropDuplicates(["id", "nameless"])
+        .drop("nameless")
     )
     kind = long.schema["id"].dataType.simpleString()
 

@@ -71,3 +71,9 @@ def test_split_items(spark):
     assert [r.page for r in sorted(got, key=lambda r: r.piece) if r.id == 6] == [7, 8, 9] or {r.page for r in got if r.id == 6} >= {7}
     assert all(len(r.text) <= 1200 for r in got)
     assert split_items(df.where("false")).count() == 0
+
+
+def test_items_without_id_are_all_split(spark):
+    texts = ["Ein Satz von hier. " * 100, "Ein anderer Satz. " * 100]
+    df = spark.createDataFrame([(None, texts[0], 1), (None, texts[1], 1), (5, texts[0], 1), (5, texts[0], 1)], "id long, text string, page int")
+    assert [r.id for r in split_items(df).where("piece = 0").orderBy("id").collect()] == [None, None, 5]
