@@ -221,8 +221,7 @@ def stretches(tree: Tree, texts: list[str], switch: float, least_words: int, lea
                 continue
             c = c / (e - s)
             w = np.exp2(c.min() - c)
-            if (sure := float(w[lang] / w.sum())) >= LEAST_CONFIDENCE:
-                rows.append((s, e, lang, sure))
+            rows.append((s, e, lang, float(w[lang] / w.sum())))
         out.append(rows)
         a = b
     return out
@@ -247,6 +246,7 @@ def fit(items: DataFrame, text_col: str, hint_col: str, sample: int = 3000, swit
         texts = [r.text for r in rows]
         by = {lang: [] for lang in LANGS}
         for t, found in zip(texts, stretches(tree, texts, switch, 4, switch)):
+            found = [x for x in found if x[3] >= LEAST_CONFIDENCE]
             if len(found) == 1:
                 by[LANGS[found[0][2]]].append(t)
     return train(by)
@@ -256,7 +256,9 @@ def languages(items: DataFrame, id_col: str, text_col: str, hint_col: str, tree:
     """id, hinted, stretch, first_word, n_words, lang, confidence, n_langs: one row per stretch of one language.
 
     Texts without words (null, empty, figures) give no row. hinted is the
-    language the hint names or null. Repeated rows give repeated results;
+    language the hint names or null. A stretch of low confidence comes out
+    with it; n_langs counts languages of at least LEAST_CONFIDENCE, which is
+    also what p3_found asks for. Repeated rows give repeated results;
     extra columns are ignored. The model is fitted on a bounded sample, the
     scoring covers every row and its whole text.
     """
@@ -274,7 +276,7 @@ def languages(items: DataFrame, id_col: str, text_col: str, hint_col: str, tree:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 rows = []
                 for i, found in enumerate(stretches(model.value, part.column("text").to_pylist(), switch, least_words, least_bits)):
-                    n = len({x[2] for x in found})
+                    n = len({x[2] for x in found if x[3] >= LEAST_CONFIDENCE})
                     rows += [(i, k, a, b - a, LANGS[lang], c, n) for k, (a, b, lang, c) in enumerate(found)]
                 c = list(zip(*rows)) if rows else [()] * 7
                 at = pa.array(c[0], pa.int64())

@@ -77,3 +77,11 @@ def test_items_without_id_are_all_split(spark):
     texts = ["Ein Satz von hier. " * 100, "Ein anderer Satz. " * 100]
     df = spark.createDataFrame([(None, texts[0], 1), (None, texts[1], 1), (5, texts[0], 1), (5, texts[0], 1)], "id long, text string, page int")
     assert [r.id for r in split_items(df).where("piece = 0").orderBy("id").collect()] == [None, None, 5]
+
+
+def test_stretches_of_low_confidence_come_out(spark):
+    shared = ["alpha beta gamma delta epsilon"] * 5
+    tree = train({"de": shared + ["haus und hof"], "en": shared + ["house and yard"], "fr": ["maison et cour"], "es": ["casa y patio"]})
+    df = spark.createDataFrame([(1, "alpha beta gamma delta epsilon", None)], "id long, text string, hint string")
+    got = languages(df, "id", "text", "hint", tree).collect()
+    assert len(got) == 1 and got[0].confidence < 0.8 and got[0].n_langs == 0
