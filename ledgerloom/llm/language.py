@@ -232,23 +232,27 @@ def fit(items: DataFrame, text_col: str, hint_col: str, sample: int = 3000, swit
 
     A share of the rows that gives about twice the sample is cut down to it, so
     what the tasks send stays bounded too. Labels may be wrong: the first model relabels the sample, texts of one
-    language only train the final one. None if no row is labelled.
+    language only train the final one. Texts outside 80 to 20,000 characters
+    are taken only if there are no others. None if no row is labelled.
     """
     labelled = items.select(F.col(text_col).alias("text"), named_language(F.col(hint_col)).alias("lang")).where("lang is not null")
     share = min(1.0, 2 * sample / max(1, labelled.select("lang").count()))
     chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
     rows = labelled.where("length(text) between 80 and 20000").where(chosen).orderBy(F.xxhash64("text")).limit(sample).collect()
+    if not rows:  # then of any length, as far as 20,000 characters
+        rows = labelled.where("length(text) > 0").select(F.substring("text", 1, 20000).alias("text"), "lang").orderBy(F.xxhash64("text")).limit(sample).collect()
     if not rows:
         return None
     by = {lang: [r.text for r in rows if r.lang == lang] for lang in LANGS}
     for _ in range(2):
         tree = train(by, least_share=0.3)
         texts = [r.text for r in rows]
-        by = {lang: [] for lang in LANGS}
+        again: dict[str, list[str]] = {lang: [] for lang in LANGS}
         for t, found in zip(texts, stretches(tree, texts, switch, 4, switch)):
             found = [x for x in found if x[3] >= LEAST_CONFIDENCE]
             if len(found) == 1:
-                by[LANGS[found[0][2]]].append(t)
+                again[LANGS[found[0][2]]].append(t)
+        by = again if any(again.values()) else by
     return train(by)
 
 
@@ -258,7 +262,9 @@ def languages(items: DataFrame, id_col: str, text_col: str, hint_col: str, tree:
     Texts without words (null, empty, figures) give no row. hinted is the
     language the hint names or null. A stretch of low confidence comes out
     with it; n_langs counts languages of at least LEAST_CONFIDENCE, which is
-    also what p3_found asks for. Repeated rows give repeated results;
+    also what p3_found asks for. A language that no sampled row is labelled
+    with is never assigned; texts of which none is labelled are an error.
+    Repeated rows give repeated results;
     extra columns are ignored. The model is fitted on a bounded sample, the
     scoring covers every row and its whole text.
     """
@@ -268,6 +274,8 @@ def languages(items: DataFrame, id_col: str, text_col: str, hint_col: str, tree:
     schema = f"id {kind}, hinted string, stretch int, first_word int, n_words int, lang string, confidence double, n_langs int"
     tree = tree or fit(items, text_col, hint_col, sample, switch)
     if tree is None:
+        if not src.where("length(text) > 0").isEmpty():
+            raise ValueError(f"no text has a {hint_col} that names one of {', '.join(LANGS)}: nothing to learn from")
         return items.sparkSession.createDataFrame([], schema)
     model = items.sparkSession.sparkContext.broadcast(tree)  # bounded by the sample
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm.language import LANGS, cost, languages, named_language, train
 from ledgerloom.llm.splitting import EDGE, atoms, merge, split_items, split_text
@@ -85,3 +86,12 @@ def test_stretches_of_low_confidence_come_out(spark):
     df = spark.createDataFrame([(1, "alpha beta gamma delta epsilon", None)], "id long, text string, hint string")
     got = languages(df, "id", "text", "hint", tree).collect()
     assert len(got) == 1 and got[0].confidence < 0.8 and got[0].n_langs == 0
+
+
+def test_labels_of_short_texts_only_and_none(spark):
+    rows = [(i, "der hund und das haus" if i % 2 else "the dog and the house", "de" if i % 2 else "en") for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, text string, hint string")
+    got = {r.id: r.lang for r in languages(df, "id", "text", "hint").collect()}
+    assert got == {i: h for i, _, h in rows}
+    with pytest.raises(ValueError, match="nothing to learn from"):
+        languages(df.withColumn("hint", F.lit("?")), "id", "text", "hint")
