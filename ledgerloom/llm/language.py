@@ -35,9 +35,9 @@ NAMES = {
 LANGS = tuple(NAMES)
 #: a word is a token of letters only; codes, hashes and figures are no running text
 WORD = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
-#: a stretch that costs more bits a byte than this in its best language is no running text
-NOISE_BITS = 5.0
-#: nor is one whose best language is less sure than this
+#: what stands for text of none of the languages: it costs this many bits a byte
+UNKNOWN, NOISE_BITS = "und", 5.0
+#: a stretch whose language is less sure than this is no evidence of it
 LEAST_CONFIDENCE = 0.8
 
 
@@ -188,7 +188,9 @@ def stretches(tree: Tree, texts: list[str], switch: float, least_words: int, lea
 
     A stretch of fewer than least_words words, or that is less than least_bits
     cheaper in its language than in the text's main one, joins its neighbour.
-    Confidence is the share of 2^-(code length / words) of the language.
+    Confidence is the share of 2^-(code length / words) of the language. A
+    stretch that is cheaper at NOISE_BITS a byte than in any language is of
+    none of them (number len(LANGS)), its confidence that of this rate.
     """
     words, counts, sizes = word_costs(tree, texts)
     offset = np.concatenate([[0], np.cumsum(sizes)])
@@ -216,10 +218,10 @@ def stretches(tree: Tree, texts: list[str], switch: float, least_words: int, lea
                 runs[0][2] = main
         rows = []
         for s, e, lang in runs:
-            c = sums[a + e] - sums[a + s]
-            if c[lang] > NOISE_BITS * (offset[a + e] - offset[a + s]):
-                continue
-            c = c / (e - s)
+            c = (sums[a + e] - sums[a + s]) / (e - s)
+            noise = NOISE_BITS * (offset[a + e] - offset[a + s]) / (e - s)
+            if c[lang] > noise:
+                lang, c = len(LANGS), np.append(c, noise)
             w = np.exp2(c.min() - c)
             rows.append((s, e, lang, float(w[lang] / w.sum())))
         out.append(rows)
@@ -228,19 +230,25 @@ def stretches(tree: Tree, texts: list[str], switch: float, least_words: int, lea
 
 
 def fit(items: DataFrame, text_col: str, hint_col: str, sample: int = 3000, switch: float = 30.0) -> Tree | None:
-    """Train on at most ``sample`` labelled rows, chosen by the hash of their text.
-
-    A share of the rows that gives about twice the sample is cut down to it, so
-    what the tasks send stays bounded too. Labels may be wrong: the first model relabels the sample, texts of one
-    language only train the final one. Texts outside 80 to 20,000 characters
-    are taken only if there are no others. None if no row is labelled.
+    """Train on at most ``sample`` labelled rows, as many of each language, chosen by the hash of their text.
+
+    A share of a language's rows that gives about twice its part of the sample
+    is cut down to it, so what the tasks send stays bounded too; a language of
+    fewer labels takes part with all of them. Labels may be wrong: the first
+    model relabels the sample, texts of one language only train the final one.
+    Texts outside 80 to 20,000 characters are taken only where a language has
+    no others, as far as 20,000 characters. None if no row is labelled.
     """
-    labelled = items.select(F.col(text_col).alias("text"), named_language(F.col(hint_col)).alias("lang")).where("lang is not null")
-    share = min(1.0, 2 * sample / max(1, labelled.select("lang").count()))
-    chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
-    rows = labelled.where("length(text) between 80 and 20000").where(chosen).orderBy(F.xxhash64("text")).limit(sample).collect()
-    if not rows:  # then of any length, as far as 20,000 characters
-        rows = labelled.where("length(text) > 0").select(F.substring("text", 1, 20000).alias("text"), "lang").orderBy(F.xxhash64("text")).limit(sample).collect()
+    part = max(1, sample // len(LANGS))
+    usable = (F.length("text") >= 80) & (F.length("text") <= 20000)
+    labelled = items.select(F.col(text_col).alias("text"), named_language(F.col(hint_col)).alias("lang")).where("lang is not null and length(text) > 0")
+    rows = []
+    for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(usable).alias("good")).orderBy("lang").collect():
+        mine = labelled.where(F.col("lang") == r.lang)
+        mine = mine.where(usable) if r.good else mine.select(F.substring("text", 1, 20000).alias("text"), "lang")
+        share = min(1.0, 2 * part / (r.good or r.n))
+        chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+        rows += (mine if share == 1 else mine.where(chosen)).orderBy(F.xxhash64("text"), "text").limit(part).collect()
     if not rows:
         return None
     by = {lang: [r.text for r in rows if r.lang == lang] for lang in LANGS}
@@ -249,7 +257,7 @@ def fit(items: DataFrame, text_col: str, hint_col: str, sample: int = 3000, swit
         texts = [r.text for r in rows]
         again: dict[str, list[str]] = {lang: [] for lang in LANGS}
         for t, found in zip(texts, stretches(tree, texts, switch, 4, switch)):
-            found = [x for x in found if x[3] >= LEAST_CONFIDENCE]
+            found = [x for x in found if x[3] >= LEAST_CONFIDENCE and x[2] < len(LANGS)]
             if len(found) == 1:
                 again[LANGS[found[0][2]]].append(t)
         by = again if any(again.values()) else by
@@ -259,12 +267,13 @@ def fit(items: DataFrame, text_col: str, hint_col: str, sample: int = 3000, swit
 def languages(items: DataFrame, id_col: str, text_col: str, hint_col: str, tree: Tree | None = None, sample: int = 3000, switch: float = 30.0, least_words: int = 4, least_bits: float = 45.0) -> DataFrame:
     """id, hinted, stretch, first_word, n_words, lang, confidence, n_langs: one row per stretch of one language.
 
-    Texts without words (null, empty, figures) give no row. hinted is the
-    language the hint names or null. A stretch of low confidence comes out
-    with it; n_langs counts languages of at least LEAST_CONFIDENCE, which is
-    also what p3_found asks for. A language that no sampled row is labelled
-    with is never assigned; texts of which none is labelled are an error.
-    Repeated rows give repeated results;
+    Every text with a word has a row; null, empty and texts of figures only give
+    none. hinted is the language the hint names or null. A stretch of low
+    confidence comes out with it, one of none of the languages as 'und';
+    n_langs counts languages of at least LEAST_CONFIDENCE, which is also what
+    p3_found asks for. A language that no row is labelled with is never
+    assigned; texts of which none is labelled are an error. Repeated rows give
+    repeated results;
     extra columns are ignored. The model is fitted on a bounded sample, the
     scoring covers every row and its whole text.
     """
@@ -284,8 +293,8 @@ def languages(items: DataFrame, id_col: str, text_col: str, hint_col: str, tree:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 rows = []
                 for i, found in enumerate(stretches(model.value, part.column("text").to_pylist(), switch, least_words, least_bits)):
-                    n = len({x[2] for x in found if x[3] >= LEAST_CONFIDENCE})
-                    rows += [(i, k, a, b - a, LANGS[lang], c, n) for k, (a, b, lang, c) in enumerate(found)]
+                    n = len({x[2] for x in found if x[3] >= LEAST_CONFIDENCE and x[2] < len(LANGS)})
+                    rows += [(i, k, a, b - a, [*LANGS, UNKNOWN][lang], c, n) for k, (a, b, lang, c) in enumerate(found)]
                 c = list(zip(*rows)) if rows else [()] * 7
                 at = pa.array(c[0], pa.int64())
                 yield pa.RecordBatch.from_arrays(

@@ -10,6 +10,7 @@ sample, and spans that touch merged.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,28 +19,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .words import WORD, folded, folded_words
+from .words import folded_words
 
 BETWEEN, OTHER = 0, 1
 
 
 def suffix_array(seq: np.ndarray) -> np.ndarray:
-    """Positions of the sorted suffixes of a sequence of symbols below 2^15.
+    """Positions of the sorted suffixes of a sequence of symbols.
 
-    The first sort covers four symbols, later rounds double the depth and only
-    sort what is still tied.
+    The first sort covers as many symbols as 63 bits hold, later rounds double
+    the depth and only sort what is still tied.
     """
     n = len(seq)
     if n < 2:
         return np.arange(n)
-    x = np.concatenate([seq.astype(np.int64) + 1, np.zeros(4, np.int64)])
-    key = (x[:n] << 48) | (x[1 : n + 1] << 32) | (x[2 : n + 2] << 16) | x[3 : n + 3]
+    width = int(seq.max() + 1).bit_length()
+    h = min(8, 63 // width)
+    x = np.concatenate([seq.astype(np.int64) + 1, np.zeros(h, np.int64)])
+    key = np.zeros(n, np.int64)
+    for k in range(h):
+        key = (key << width) | x[k : n + k]
     sa = np.argsort(key)
     k = key[sa]
     del key
     new = np.concatenate([[True], k[1:] != k[:-1]])
     rank = np.zeros(n + 1, np.int64)  # at n: before everything
-    h = 4
     while True:
         group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         rank[sa] = group + 1
@@ -132,8 +136,6 @@ class Phrases:
             w = [self.symbol.setdefault(x, len(self.symbol) + 2) for x in folded_words(passage)]
             for i in range(len(w) - length + 1):
                 runs.setdefault(tuple(w[i : i + length]), set()).add(item)
-        if len(self.symbol) + 3 >= 1 << 15:
-            raise ValueError("the passages hold too many different words; search them in blocks")
         self.length, self.n_symbols = length, len(self.symbol) + 2
         self.table = np.array(list(runs), np.int64).reshape(-1, length)
         self.items = [sorted(v) for v in runs.values()]
@@ -161,23 +163,32 @@ def search_shard(phrases: Phrases, seq: np.ndarray, starts: np.ndarray) -> list[
     return [(d, item, a, b - a) for d, item, a, b in out]
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", length: int = 12, shard_words: int = 1_500_000, max_passage_mb: int = 64) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", length: int = 12, shard_words: int = 1_500_000, block_mb: float = 16) -> DataFrame:
     """doc_id, item_id, first_word, n_words, span: spans of documents that stand in an item's passage.
 
     A span is a merged run of words of which every ``length`` consecutive ones
     stand in the passage in order, ignoring case, accents, punctuation and
-    spacing; span is its text in the document in that folded form. Passages and
-    texts of fewer words, null and empty ones give nothing; several items of the
-    same passage each get a row; repeated documents give repeated rows; extra
-    columns are ignored. The items must be small (checked against
-    max_passage_mb) as every task holds their phrases; search larger sets in
-    blocks.
+    spacing; span is these words, joined by blanks. Passages and texts of fewer
+    words, null and empty ones give nothing; several items of the same passage
+    each get a row; repeated documents give repeated rows; extra columns are
+    ignored. Every task holds the phrases of the items: sets of more than
+    ``block_mb`` are searched in blocks of about that size, by the hash of the
+    item, each in a pass over the documents of its own.
     """
     ship(documents.sparkSession)
     held = items.select(F.col(item_col).alias("item"), F.col(passage_col).alias("passage")).where("item is not null and passage is not null")
     size = held.agg(F.sum(F.octet_length("passage")).alias("b")).first().b or 0
-    if size > max_passage_mb * 1_000_000:
-        raise ValueError(f"the passages hold {size} bytes; search them in blocks")
+    n = max(1, math.ceil(size / (block_mb * 1_000_000)))
+    parts = [held if n == 1 else held.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) for k in range(n)]
+    found = [_find_block(documents, part, id_col, text_col, length, shard_words) for part in parts]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _find_block(documents: DataFrame, held: DataFrame, id_col: str, text_col: str, length: int, shard_words: int) -> DataFrame:
+    """The leaks of items (item, passage) whose phrases fit into a task."""
     src = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, item_id {held.schema['item'].dataType.simpleString()}, first_word int, n_words int, span string"
     phrases = Phrases([(r.item, r.passage) for r in held.distinct().collect()], length)
@@ -189,7 +200,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", t
         ids, texts, seq, starts = [], [], [], []
 
         def full():
-            return ids, texts, np.array(seq, np.int16), np.array(starts, np.int64)
+            return ids, texts, np.array(seq, np.int32), np.array(starts, np.int64)
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -211,12 +222,11 @@ def find_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", t
         if not len(shared.value.table):
             return
         for ids, texts, seq, starts in shards(batches):
-            rows, at, spans = [], -1, []
+            rows, at, spoken = [], -1, []
             for d, item, a, n in search_shard(shared.value, seq, starts):
                 if d != at:
-                    at, plain = d, folded(texts[d])
-                    spans = [m.span() for m in WORD.finditer(plain)]
-                rows.append((ids[d], item, a, n, plain[spans[a][0] : spans[a + n - 1][1]]))
+                    at, spoken = d, folded_words(texts[d])
+                rows.append((ids[d], item, a, n, " ".join(spoken[a : a + n])))
             c = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c[0], id_type), pa.array(c[1], item_type), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.string())], ["doc_id", "item_id", "first_word", "n_words", "span"])
 

@@ -26,11 +26,15 @@ def count_tokens(documents: DataFrame, id_col: str, source_col: str, text_col: s
     """id, source, n_tokens under a public byte-level vocabulary; null texts have 0.
 
     The vocabulary file is read once by the driver and sent to the tasks (its
-    size is that of the file). pattern defaults to the vocabulary's own.
+    size is that of the file). Without a pattern, the one that comes with the
+    public vocabularies is taken; where these are not installed this raises.
     """
     ship(documents.sparkSession)
     if pattern is None:
-        from public_tokenizers import PATTERN as pattern
+        try:
+            from public_tokenizers import PATTERN as pattern
+        except ImportError:
+            raise ValueError("give the pattern by which the vocabulary's texts are cut: no public_tokenizers here") from None
     with open(tokenizer, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     held = documents.sparkSession.sparkContext.broadcast((pattern, ranks))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .language import LEAST_CONFIDENCE, languages
+from .language import LEAST_CONFIDENCE, UNKNOWN, languages
 from .leakage import find_leaks
 from .mixing import AVAILABLE, mix_sources
 from .neardup import link_counts, near_duplicates, record_pairs
@@ -33,7 +33,7 @@ def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = p3_languages(spark, sf_dir)
-    return found.where(F.col("confidence") >= LEAST_CONFIDENCE).where("n_langs > 1 or hinted is null or hinted <> lang").select("chunk_id", "lang").distinct()
+    return found.where((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("lang") != UNKNOWN)).where("n_langs > 1 or hinted is null or hinted <> lang").select("chunk_id", "lang").distinct()
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:

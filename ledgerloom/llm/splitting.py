@@ -29,12 +29,14 @@ def _strength(gap: str) -> int:
     return 4 if lines > 1 else 3 if lines else 2
 
 
-def atoms(text: str, limit: int) -> tuple[list[int], list[int], str]:
+def atoms(text: str, limit: int, overlap: int = 0) -> tuple[list[int], list[int], str]:
     """End of each atomic segment, strength of the boundary after it, cut class.
 
     Blanks belong to the segment before them. A stretch longer than the limit
-    is cut at blanks (strength 0), a run without blanks by length (strength -1).
+    is cut at blanks (strength 0), a run without blanks by length (strength -1),
+    so short that the overlap has room beside it.
     """
+    step = max(1, limit - overlap)
     ends, strengths, kind = [], [], "clean"
 
     def long_stretch(a: int, b: int, last: int) -> str:
@@ -46,7 +48,7 @@ def atoms(text: str, limit: int) -> tuple[list[int], list[int], str]:
             if len(text[at:w].rstrip(EDGE)) > limit:
                 got = "hard"
             while w - at > limit:
-                at += limit
+                at += step
                 ends.append(at)
                 strengths.append(-1)
             if w > at:
@@ -112,14 +114,16 @@ def split_text(text: str, limit: int = 1200, overlap: int = 150) -> list[tuple[i
     """(start, own start, stop, cut class) of each piece of a text, offsets in the text.
 
     start..stop is at most limit; start..own start repeats the end of the piece
-    before, beginning at a natural place or else after a blank, at most overlap.
-    The own parts put together are the text without surrounding blanks.
+    before, at most overlap, beginning at a natural place, or else after a
+    blank, or else anywhere. The own parts put together are the text without
+    surrounding blanks.
     """
+    overlap = min(overlap, limit - 1)
     lead = len(text) - len(text.lstrip(EDGE))
     body = text.strip(EDGE)
     if not body:
         return []
-    ends, strengths, kind = atoms(body, limit)
+    ends, strengths, kind = atoms(body, limit, overlap)
     out, at = [], 0
     for end in merge(ends, strengths, max(1, limit - overlap)):
         room, begin = min(overlap, limit - (end - at), at), at
@@ -127,7 +131,7 @@ def split_text(text: str, limit: int = 1200, overlap: int = 150) -> list[tuple[i
             tail = body[at - room : at]
             place = next((m.end() for m in NATURAL.finditer(tail) if m.end() < room), None)
             if place is None:
-                place = next((m.end() for m in BLANK.finditer(tail) if m.end() < room), room)
+                place = next((m.end() for m in BLANK.finditer(tail) if m.end() < room), 0)
             begin = at - room + place
         out.append((lead + begin, lead + at, lead + end, kind))
         at = end

@@ -53,6 +53,16 @@ def test_leaks(spark):
     assert find_leaks(df, items.where("false")).count() == 0
 
 
+def test_leaks_of_more_words_than_two_bytes_name_and_in_blocks(spark):
+    passages = [" ".join(f"w{i}x{j}" for j in range(1700)) for i in range(24)]
+    texts = [" ".join(p.split()[100 * i : 100 * i + 11 + i % 2]) for i, p in enumerate(passages[:16])] + [passages[23]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, passage string")
+    want = {(i, i, 0, 12, texts[i]) for i in range(1, 16, 2)} | {(16, 23, 0, 1700, texts[16])}
+    for block_mb in (16, 0.1):
+        assert {tuple(r) for r in find_leaks(df, items, block_mb=block_mb).collect()} == want
+
+
 def test_plan():
     assert plan_repeats({"a": 100, "b": 10}, [("a", 0.5, 1), ("b", 0.5, 4), ("c", 0.3, 1)]) == {"a": 0.4, "b": 4.0}
     got = plan_repeats({"a": 100, "b": 10}, [("a", 0.5, None), ("b", 0.5, 2)], 100)

@@ -95,3 +95,28 @@ def test_labels_of_short_texts_only_and_none(spark):
     assert got == {i: h for i, _, h in rows}
     with pytest.raises(ValueError, match="nothing to learn from"):
         languages(df.withColumn("hint", F.lit("?")), "id", "text", "hint")
+
+
+def test_every_text_with_a_word_comes_out(spark):
+    rows = [(i, text(lang, 40, i), lang) for i, lang in enumerate(LANGS * 15)]
+    rows += [(100, "questa fattura è già stata pagata dal magazzino", "it"), (101, "Total EUR", None), (102, "xqzjk wvxqp zzkqj xkcdq", None), (103, "ok", None)]
+    got = languages(spark.createDataFrame(rows, "id long, text string, hint string"), "id", "text", "hint").collect()
+    assert {r.id for r in got} == {r[0] for r in rows}
+    assert {r.lang for r in got if r.id == 102} == {"und"} and all(r.n_langs == 0 for r in got if r.id == 102)
+    assert all(0 < r.confidence <= 1 for r in got)
+
+
+def test_a_rare_language_is_learnt_from_all_its_labels(spark):
+    rows = [(i, text("de", 40, i), "de") for i in range(4000)] + [(5000 + i, text("es", 40, i), "es") for i in range(4)] + [(9000, text("es", 40, 77), None)]
+    got = languages(spark.createDataFrame(rows, "id long, text string, hint string"), "id", "text", "hint", sample=200)
+    assert {r.lang for r in got.where("id >= 5000").collect()} == {"es"}
+
+
+@pytest.mark.parametrize("limit, overlap", [(1200, 150), (60, 20), (10, 9), (5, 8)])
+def test_overlap_where_there_is_no_blank(limit, overlap):
+    for t in ("a" * 3000, "b" * (limit + 1), "wort " * 5 + "c" * 5 * limit + " ende"):
+        pieces = split_text(t, limit, overlap)
+        assert "".join(t[own:b] for _, own, b, _ in pieces) == t
+        assert all(b - a <= limit for a, _, b, _ in pieces)
+        inside = [(a, own) for (_, _, before, _), (a, own, _, _) in zip(pieces, pieces[1:]) if not t[own - 1].isspace() and " " not in t[own - min(overlap, limit - 1) : own]]
+        assert inside and all(own - a == min(overlap, limit - 1, own) for a, own in inside)
