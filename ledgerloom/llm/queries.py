@@ -9,6 +9,7 @@ from ..session import table
 from .language import LEAST_CONFIDENCE, UNKNOWN, languages
 from .leakage import find_leaks
 from .mixing import AVAILABLE, mix_sources
+from .nearest import nearest_vectors
 from .neardup import link_counts, near_duplicates, record_pairs
 from .reading import reading_profile
 from .similar import similar_vectors
@@ -16,12 +17,12 @@ from .splitting import split_items
 
 
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten most similar passages of other documents of every passage."""
-    return similar_vectors(table(spark, sf_dir, "chunks"))
+    """The ten most similar passages of other documents, however far, of every passage whose id is divisible by 100, against all passages."""
+    return nearest_vectors(table(spark, sf_dir, "chunks"), F.col("id") % 100 == 0)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = similar_vectors(table(spark, sf_dir, "chunks"))
+    found = similar_vectors(table(spark, sf_dir, "chunks"), least=0.9)
     return found.select(F.least("id", "neighbour").alias("chunk_id_a"), F.greatest("id", "neighbour").alias("chunk_id_b")).distinct()
 
 

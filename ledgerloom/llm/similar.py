@@ -1,14 +1,18 @@
-"""Most similar vectors for every vector by a forest of split trees.
-
-A node of a tree is split by a projection on the difference of two of its own
-vectors at the median, so a dense cluster is split as finely as any other
-place. The upper splits come from a bounded sample and give the leaves, as many
-as the size asks for; the task of a leaf goes on splitting what it holds, each
-tree in an order of its own, and so puts its entries in a row. An entry is
-compared with those around it in the row, and ascends, twice as far each time
-and at most over the whole leaf, until what lies further out no longer changes
-its best candidates. Every row is indexed. Candidates are found with two-byte
-components; all that may be among the best k by these are then compared exactly.
+"""Most similar vectors for every vector by a hash-prefix forest distributed by prefix.
+
+The hash string of a vector in a tree is made of the turns at the tree's
+splits: a node is split by a projection on the difference of two of its own
+vectors at the median, so a dense cluster is told apart by further bits like
+any other place. The first bits come from splits of a bounded sample and give
+the leaf, one task's share; the task goes on splitting what it holds and sorts
+its entries by the rest of their strings, into an array of its own per tree.
+An entry descends to its place in the array, where the longest common prefixes
+are, and ascends: each step takes in twice as many entries on either side, so
+at least those of a prefix shorter by one bit, until what lies further out no
+longer changes its best candidates, at most the whole leaf. Every row is
+indexed. Candidates are found with two-byte components; all that may be among
+the best k by these are then compared exactly. ``nearest`` holds the form for
+stated queries without a threshold, where the trees ascend together.
 
 Equal vectors are one entry. Of their rows at most ``2k`` are listed as
 neighbours, at most k of one document: whatever document a query belongs to, k
@@ -204,10 +208,11 @@ def search_leaf(e: np.ndarray, window: int, least: float, k: int, seed: int = 0,
             yield e["key"][i], e["key"][j]
 
 
-def similar_vectors(vectors: DataFrame, id_col: str = "id", doc_col: str = "doc_id", vector_col: str = "embedding", k: int = 10, least: float = 0.9, dim: int = 64, trees: int = 12, bits: int = 40, window: int = 128, leaf_rows: int = 16_384, sample: int = 20_000, seed: int = 11) -> DataFrame:
+def similar_vectors(vectors: DataFrame, id_col: str = "id", doc_col: str = "doc_id", vector_col: str = "embedding", k: int = 10, least: float | None = None, dim: int = 64, trees: int = 12, bits: int = 40, window: int = 128, leaf_rows: int = 16_384, sample: int = 20_000, seed: int = 11) -> DataFrame:
     """id, neighbour, cosine, nth: for each row its (up to) k most similar rows of other documents, of cosine at least ``least``.
 
-    Ties go to the smaller id. Rows whose vector is null, of another length,
+    Without ``least`` every row is a query of ``nearest_vectors``, however far
+    its neighbours; that costs rows times rows where these are far. Ties go to the smaller id. Rows whose vector is null, of another length,
     not finite or all zero are left out, as are null ids; a null or empty
     document is a document of its own. A row delivered twice counts once; equal
     vectors are neighbours like any other; extra columns are ignored; an empty
@@ -217,6 +222,10 @@ def similar_vectors(vectors: DataFrame, id_col: str = "id", doc_col: str = "doc_
     of the best. ``sample`` bounds the rows from which the upper splits are
     taken, ``bits`` their depth.
     """
+    if least is None:
+        from .nearest import nearest_vectors
+
+        return nearest_vectors(vectors, None, id_col, doc_col, vector_col, k, dim, trees, seed=seed)
     spark = vectors.sparkSession
     ship(spark)
     src = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.coalesce(key(F.col(doc_col)), F.lit(""))).alias("doc"), F.col(vector_col).alias("v")).where(f"id is not null and v is not null and size(v) = {int(dim)}")

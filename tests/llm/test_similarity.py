@@ -2,8 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm.neardup import link_counts, near_duplicates, record_pairs, token_sets
+from ledgerloom.llm.nearest import nearest_vectors
 from ledgerloom.llm.similar import similar_vectors
 from ledgerloom.llm.words import words
 
@@ -51,14 +53,14 @@ def test_similar_vectors_against_brute_force(spark):
     rows = [(i, d, [float(x) for x in e], "x") for i, (d, e) in enumerate(zip(doc, v))]
     bad = [(9001, "q", None, "x"), (9002, "q", [], "x"), (9003, "q", [1.0] * 7, "x"), (9004, "q", [0.0] * 8, "x"), (9005, "q", [float("nan")] * 8, "x"), (9006, "q", [float("inf")] + [1.0] * 7, "x"), (None, "q", [1.0] * 8, "x"), rows[5], (9007, " D1 ", rows[1][2], "x")]
     df = spark.createDataFrame(rows + bad, "id long, doc_id string, embedding array<float>, nth string")
-    got = {(r.id, r.neighbour) for r in similar_vectors(df, dim=8, k=4, leaf_rows=100, sample=50).collect()}
+    got = {(r.id, r.neighbour) for r in similar_vectors(df, dim=8, k=4, least=0.9, leaf_rows=100, sample=50).collect()}
     allrows = [(i, (d or ""), np.float32(e).astype(float)) for i, d, e, _ in rows] + [(9007, "d1", np.float32(rows[1][2]).astype(float))]
     want = set()
     for i, d, e in allrows:
         c = sorted((-round(float(e @ f / np.linalg.norm(e) / np.linalg.norm(f)), 12), j) for j, g, f in allrows if g != d and j != i)
         want |= {(i, j) for s, j in c[:4] if -s >= 0.9}
     assert len(got & want) / len(want) > 0.97 and len(got) == len(want)
-    assert similar_vectors(df.where("false"), dim=8).count() == 0
+    assert similar_vectors(df.where("false"), dim=8, least=0.9).count() == 0
 
 
 def test_similar_vectors_in_a_dense_cluster(spark):
@@ -68,7 +70,7 @@ def test_similar_vectors_in_a_dense_cluster(spark):
     v = rng.standard_normal((n, dim))
     v[::3] = 5 * rng.standard_normal(dim) + rng.standard_normal((n // 3, dim))
     df = spark.createDataFrame([(i, f"d{i // 2}", [float(x) for x in e]) for i, e in enumerate(v)], "id long, doc_id string, embedding array<float>")
-    got = {(r.id, r.neighbour) for r in similar_vectors(df, leaf_rows=2000).collect()}
+    got = {(r.id, r.neighbour) for r in similar_vectors(df, least=0.9, leaf_rows=2000).collect()}
     u = v.astype(np.float32).astype(float)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     want = set()
@@ -87,8 +89,53 @@ def test_similar_vectors_of_a_row_among_many_of_its_document(spark):
     v = np.concatenate([v, v[:1]]).astype(np.float32).astype(float)
     doc = ["heavy"] * 60 + [f"d{i}" for i in range(15)] + ["copy"]
     df = spark.createDataFrame([(i, d, [float(x) for x in e]) for i, (d, e) in enumerate(zip(doc, v))], "id long, doc_id string, embedding array<float>")
-    got = {(r.id, r.neighbour) for r in similar_vectors(df, dim=16).collect()}
+    got = {(r.id, r.neighbour) for r in similar_vectors(df, dim=16, least=0.9).collect()}
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     s = u @ u.T
     want = {(i, j) for i in range(len(v)) for j in sorted((j for j in range(len(v)) if doc[j] != doc[i] and s[i, j] >= 0.9), key=lambda j: (-round(s[i, j], 12), j))[:10]}
     assert got == want
+
+
+def nearest_by_brute_force(ids, docs, v, asked, k):
+    """Neighbours of each asked row, and what is as similar as the k-th."""
+    u = np.asarray(v, np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    out = {}
+    for i in asked:
+        s = u @ u[i]
+        s[np.asarray(docs, object) == docs[i]] = -2
+        out[ids[i]] = {ids[j] for j in np.lexsort((ids, -np.round(s, 12)))[:k] if s[j] > -2}
+    return out
+
+
+@pytest.mark.parametrize("shape", ["far", "dense"])
+def test_nearest_vectors_at_any_distance(spark, shape):
+    """Vectors in all directions, and a third of them close together; every 20th row asks."""
+    rng = np.random.default_rng(8)
+    n, dim = 4000, 24
+    v = rng.standard_normal((n, dim))
+    if shape == "dense":
+        v[::3] = 5 * rng.standard_normal(dim) + rng.standard_normal((len(v[::3]), dim))
+    docs = [f"d{i // 3}" for i in range(n)]
+    df = spark.createDataFrame([(i, d, [float(x) for x in e]) for i, (d, e) in enumerate(zip(docs, v))], "id long, doc_id string, embedding array<float>")
+    got = nearest_vectors(df.repartition(3), F.col("id") % 20 == 0, dim=dim, sample=500, shard_rows=1000, block=90).collect()
+    want = nearest_by_brute_force(list(range(n)), docs, v, range(0, n, 20), 10)
+    found = {(r.id, r.neighbour) for r in got}
+    assert {r.id for r in got} == set(want) and all(1 <= r.nth <= 10 for r in got)
+    assert sum((i, j) in found for i, js in want.items() for j in js) / (10 * len(want)) > 0.93
+
+
+def test_nearest_vectors_of_dirty_rows(spark):
+    """Copies of one vector hold a third of the rows; ties, repeated rows, unusable vectors, clashing names."""
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.standard_normal((80, 8)), np.repeat(rng.standard_normal((1, 8)), 60, axis=0)])
+    docs = [f"d{i % 7}" if i % 5 else "" for i in range(len(v))]
+    rows = [(i, f" {d.upper()} " if i % 2 else d or None, [float(x) for x in e], "x") for i, (d, e) in enumerate(zip(docs, v))]
+    bad = [(900, "q", None, "x"), (901, "q", [], "x"), (902, "q", [1.0] * 7, "x"), (903, "q", [0.0] * 8, "x"), (904, "q", [float("nan")] * 8, "x"), (None, "q", [1.0] * 8, "x"), *rows[:9]]
+    df = spark.createDataFrame(rows + bad, "id long, doc_id string, embedding array<float>, cosine string")
+    got = nearest_vectors(df, dim=8, k=4, sample=40, shard_rows=50)
+    assert {(r.id, r.neighbour) for r in got.collect()} == {(i, j) for i, js in nearest_by_brute_force(list(range(len(v))), docs, v, range(len(v)), 4).items() for j in js}
+    assert nearest_vectors(df.where("false"), dim=8).count() == 0 and nearest_vectors(df, F.lit(False), dim=8).count() == 0
+    alone = nearest_vectors(df.where("id = 1"), dim=8)
+    assert alone.count() == 0
+    assert similar_vectors(df, dim=8, k=4).count() > 0.97 * got.count()  # without a threshold: the same search, of every row
