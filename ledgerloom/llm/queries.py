@@ -11,7 +11,7 @@ from .leakage import find_leaks
 from .mixing import AVAILABLE, mix_sources
 from .nearest import nearest_vectors
 from .neardup import link_counts, near_duplicates, record_pairs
-from .reading import reading_profile
+from .reading import calibration, measured, reading_profile
 from .similar import similar_vectors
 from .splitting import split_items
 
@@ -94,6 +94,16 @@ def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _profile(spark, sf_dir)
 
 
+def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage rank and counts of every document."""
+    return measured(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_words", "n_sentences", "n_long", "coverage_rank")
+
+
+def p9_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of the calibration and its error on grades held out."""
+    return calibration(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _profile(spark, sf_dir).where("level in ('easy', 'hard')").select("doc_id", "level")
 
@@ -101,7 +111,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_neighbours": p1_neighbours,
     "p3_found": p3_found, "p3_languages": p3_languages, "p4_found": p4_found, "p4_pieces": p4_pieces,
-    "p5_found": p5_found, "p5_links": p5_links, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_profile": p9_profile,
+    "p5_found": p5_found, "p5_links": p5_links, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_profile": p9_profile, "p9_coverage": p9_coverage, "p9_calibration": p9_calibration,
 }
 
 _EDGE = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160)"
@@ -140,6 +150,15 @@ with long as (select id, any_value(trim("text", {_EDGE})) t from chunks where (k
 parts as (select id, t, list_max([length(trim(x, {_EDGE})) for x in string_split_regex(regexp_replace(regexp_replace(t, '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), ' [|] ', chr(10), 'g'), '[\\n\\r\\f]')]) stretch,
   list_max([length(x) for x in string_split_regex(t, '\\s+')]) run from long)
 select id chunk_id, case when stretch <= 1200 then 'clean' when run <= 1200 then 'word' else 'hard' end cut_class from parts""",
+    "p9_coverage": """
+with w as (select doc_id, unnest(regexp_extract_all(lower("text"), '[\\p{L}\\p{N}]+')) word from documents where "text" is not null),
+c as (select word, count(*) n from w group by 1), r as (select word, sum(n1) over (order by n desc) rank from (select word, n, 1 n1 from c)),
+d as (select doc_id, cast(rank as bigint) rank, row_number() over (partition by doc_id order by rank) k, count(*) over (partition by doc_id) m from w join r using (word)),
+cov as (select doc_id, rank from d where k = ceil(0.8 * m - 1e-9)),
+f as (select doc_id, len(regexp_extract_all(coalesce("text", ''), '\\S+')) n_words,
+  len(list_filter(string_split_regex(regexp_replace(regexp_replace(coalesce("text", ''), '\\n[ \\t\\r]*\\n', chr(1), 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '\\S'))) n_sentences,
+  len(list_filter(regexp_extract_all(coalesce("text", ''), '\\S+'), lambda x: regexp_matches(x, '\\p{L}{7}'))) n_long from documents)
+select f.*, cov.rank coverage_rank from f left join cov using (doc_id)""",
     "p9_found": """
 with f as (select doc_id, len(regexp_extract_all(coalesce("text", ''), '\\S+')) w,
   len(list_filter(string_split_regex(regexp_replace(regexp_replace(coalesce("text", ''), '\\n[ \\t\\r]*\\n', chr(1), 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '\\S'))) s,
