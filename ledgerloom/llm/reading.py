@@ -39,12 +39,37 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         a = b
 
 
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 of texts without nulls, one after the other, and where each ends, from 0."""
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    return (np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)), (at - at[0]).astype(np.int64)
+
+
+def runs(inside: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of inside bytes begin, none across two texts, and the text of each."""
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    border = ends[:-1][ends[:-1] < ends[1:]]
+    first[border] = inside[border]
+    starts = np.flatnonzero(first)
+    return starts, np.searchsorted(ends[1:], starts, side="right")
+
+
+_LETTERS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+_FILLED = np.array([b not in (9, 10, 11, 12, 13, 32) for b in range(256)])
+
+
 def word_list(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts (runs of letters and digits, lower case) and the text of each."""
-    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\pL\pN]+")
-    words, owner = lists.flatten(), np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(lists)))
-    full = np.asarray(pc.binary_length(words)) > 0
-    return words.filter(pa.array(full)), owner[full]
+    low = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\x00-\x7f\pL\pN]+", " ")
+    data, ends = bytes_of(low)
+    inside = _LETTERS[data]
+    starts, owner = runs(inside, ends)
+    before = np.cumsum(inside)[starts] - 1 if len(starts) else starts
+    kept = data[inside]
+    offsets = np.append(before, len(kept)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(kept)), owner
 
 
 def sentence_features(texts: pa.Array) -> dict[str, pa.Array]:
@@ -55,9 +80,10 @@ def sentence_features(texts: pa.Array) -> dict[str, pa.Array]:
     letters takes the rest of its word, so a word counts once.
     """
     t = pc.replace_substring(pc.fill_null(texts, ""), "\x01", "\x02")
+    data, ends = bytes_of(t)
     ended = pc.replace_substring_regex(pc.replace_substring_regex(t, r"\n[ \t\r]*\n", "\x01"), rf"([.!?])[{_B}]+", "\\1\x01")
     counts = {
-        "n_words": pc.count_substring_regex(t, rf"[^{_B}]+"),
+        "n_words": pa.array(np.bincount(runs(_FILLED[data], ends)[1], minlength=len(texts))),
         "n_sentences": pc.count_substring_regex(ended, rf"[^\x01]*[^\x01{_B}][^\x01]*"),
         "n_long": pc.count_substring_regex(t, rf"\pL{{7}}[^{_B}]*"),
     }
@@ -105,7 +131,7 @@ def measure(documents: DataFrame, vocab: DataFrame, id_col: str, text_col: str,
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ranks = held.value
-        far = np.int64(1 << 62)
+        far = np.int64(1 << 32)  # beyond any rank that a task holds
         ranks = np.append(ranks, far)
         for batch in batches:
             for a, texts in pieces(batch.column("text")):
@@ -115,10 +141,10 @@ def measure(documents: DataFrame, vocab: DataFrame, id_col: str, text_col: str,
                 rank = ranks[place][np.asarray(coded.indices)] if len(words) else np.zeros(0, np.int64)
                 n = np.bincount(owner, minlength=len(texts))
                 start = np.cumsum(n) - n
-                order = np.lexsort((rank, owner))
+                ordered = np.sort((owner.astype(np.int64) << 33) | rank) & ((1 << 33) - 1)
                 at = start + np.maximum(0, np.ceil(share * n - 1e-9).astype(np.int64) - 1)
                 cover = np.zeros(len(texts), np.int64)
-                cover[n > 0] = rank[order][at[n > 0]]
+                cover[n > 0] = ordered[at[n > 0]]
                 beyond = cover == far
                 kept = pa.array(beyond[owner])
                 ends = np.append(0, np.cumsum(np.where(beyond, n, 0)))
