@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 
 from ..functions.archive import parse_number, period_range
 from ..plans.columns import ALIASES, NO_MATCH, OPERATIONS, UNSUMMABLE, closest, first_of, signature, with_columns
+from ..session import cut
+from .extract import frame_columns, facts_of_frame
 
 MONEY = "decimal(38,4)"
 EMPTY = "(leer)"
@@ -90,19 +92,19 @@ class FactStore:
 
     # ── scope and columns ────────────────────────────────────────────────────
 
-    def scope(self, r: Request) -> DataFrame:
-        """Tables in scope: source contains (any case), type and year equal."""
-        t = self.tables
+    def scope(self, r: Request, among: DataFrame | None = None) -> DataFrame:
+        """Tables in scope, of all or ``among`` some: source contains (any case), type and year equal."""
+        t = self.tables if among is None else among
         if r.source:
             t = t.where(F.contains(F.lower("source"), F.lower(F.lit(r.source))))
         if r.doc_type:
             t = t.where(F.col("doc_type") == r.doc_type)
         return t.where(F.col("year") == r.year) if r.year else t
 
-    def matched(self, r: Request) -> DataFrame:
+    def matched(self, r: Request, among: DataFrame | None = None) -> DataFrame:
         """Tables in scope with ``near`` and the closest ``columns`` for the request, their filter columns and why they are skipped."""
         near, candidates = closest(F.col("columns"), r.column) if r.column else (F.lit(0), F.lit(None).cast("array<struct<name:string,raw:string,role:string,kind:string>>"))
-        t = self.scope(r).withColumn("near", near).withColumn("candidates", candidates).where(F.col("near") < NO_MATCH)
+        t = self.scope(r, among).withColumn("near", near).withColumn("candidates", candidates).where(F.col("near") < NO_MATCH)
         t = t.withColumn("measure", F.try_element_at("candidates", F.lit(1)))
         found = closest(F.col("columns"), r.where_column)[1] if r.where_column and r.where_value else F.lit(None).cast(t.schema["columns"].dataType)
         role = lambda name: first_of(F.col("columns"), lambda c: c["role"] == name)
@@ -132,12 +134,19 @@ class FactStore:
         use = tables.where("skip is null").select(
             "table_uid", F.col("measure.name").alias("m"), F.col("where_col.name").alias("w"), F.col("where_col.kind").alias("wk"), F.col("date_col.name").alias("d"), F.col("amount_col.name").alias("a")
         )
-        mine = self.values.join(use, "table_uid").where("col = m or col = w or col = d or col = a")
+        # only the columns in question leave the scan: a hot table spreads over its columns, and further by AQE where it is skewed
+        wanted = use.select("*", F.explode(F.array_distinct(F.array_compact(F.array("m", "w", "d", "a")))).alias("col"))
+        mine = self.values.join(wanted, ["table_uid", "col"])
         pick = lambda flag, value: F.max(F.when(F.col("col") == F.col(flag), F.col(value)))
         cells = mine.groupBy("fact_id").agg(
             pick("m", "num").alias("num"), pick("m", "text").alias("text"), pick("w", "num").alias("wnum"), pick("w", "text").alias("wtext"), pick("d", "date").alias("day"), pick("a", "num").alias("amount")
         )
         out = self.facts.where("row_kind = 'data'").join(use.select("table_uid", "wk"), "table_uid").join(cells, F.col("id") == F.col("fact_id"), "left")
+        return self._passing(r, out)
+
+    @staticmethod
+    def _passing(r: Request, out: DataFrame) -> DataFrame:
+        """The rows that pass the filters of a request; of rows with their cells and the kind wk of the filter column."""
         if r.where_column and r.where_value:
             low = F.lower("wtext")
             want = F.lower(F.lit(r.where_value))
@@ -233,7 +242,7 @@ class FactStore:
             return self._refused(r, tables)
         if op == "closing":
             return self._closed(r, tables, seen)
-        per = self.per_table(r, tables).cache()
+        per = cut(self.per_table(r, tables), "per_table")
         facts = per.agg(
             F.count("*").alias("n"), F.sum("rows_matched").alias("matched"), F.sum("rows_total").alias("scanned"), F.sum("totals_excluded").alias("excluded"), F.count_distinct("doc_id").alias("docs"),
             F.count_distinct("signature").alias("shapes"), F.sum("num_sum").alias("num_sum"), F.sum("num_count").alias("num_count"), F.min("value").alias("least"), F.max("value").alias("most"), F.count_if("capped").alias("capped"), F.count_if(F.col("layout") == "keyvalue").alias("sheets"), F.count_if(F.col("rows_indexed") < F.col("rows_total") + F.col("totals_excluded")).alias("thin"),
@@ -298,7 +307,8 @@ class FactStore:
         return out
 
     def _closed(self, r: Request, tables: DataFrame, seen: list) -> Result:
-        got = self.closing(r, tables).join(tables.select("table_uid", "source", "sheet", F.col("measure.raw").alias("column"), F.col("measure.role").alias("role")), "table_uid").cache()
+        got = self.closing(r, tables).join(tables.select("table_uid", "source", "sheet", F.col("measure.raw").alias("column"), F.col("measure.role").alias("role")), "table_uid")
+        got = cut(got, "closing")
         n = got.count()
         warnings = self._skipped(r, tables, seen)
         if not n:
@@ -309,3 +319,37 @@ class FactStore:
             warnings.append(f"a last value of a {x.role} column is not a closing balance")
         first = got.orderBy("source", "sheet", "table_uid").first()
         return Result(True, "closing", value=first.value, column=first.column, matched_rows=n, n_tables=n, closing=got, warnings=warnings)
+
+
+class FrameStore(FactStore):
+    """An ordinary typed table as a fact table: requests read its columns as they are, without attribute-value rows.
+
+    Takes the arguments of ``facts_of_frame`` and gives the same results as a
+    FactStore over what that returns. Which column is meant is decided over the
+    one-row catalogue; the rows are then a projection of the table, so an
+    aggregate is one scan of the columns in question and one partial
+    aggregation.
+    """
+
+    def __init__(self, df: DataFrame, table_uid: str, id_col: str, roles: dict[str, str], label: str | None = None, source: str | None = None, uid_col: str | None = None, documents: DataFrame | None = None):
+        super().__init__(*facts_of_frame(df, table_uid, id_col, roles, label, source, uid_col), documents)
+        self.base, self.head = frame_columns(df, table_uid, id_col, roles, label, source, uid_col)
+        self.raw = {c.replace("_", ""): c for c in roles}
+
+    def resolve(self, r: Request) -> DataFrame:
+        """All tables have the same columns, so one row of the catalogue decides for all."""
+        return self.matched(r)
+
+    def rows(self, r: Request, tables: DataFrame) -> DataFrame:
+        mine = FactStore.matched(self, r, self.head).where("skip is null").select(F.col("measure.name").alias("m"), "where_col", F.col("date_col.name").alias("d"), F.col("amount_col.name").alias("a")).first()
+        none = F.lit(None)
+        cell = lambda name, field: self.base[f"cell_{self.raw[name]}"][field] if name else none
+        if mine is None:
+            m = w = d = a = None
+        else:
+            m, w, d, a = mine.m, mine.where_col and mine.where_col.name, mine.d, mine.a
+        out = self.base.select(
+            "table_uid", "id", "row", "locator", cell(m, "num").cast("double").alias("num"), cell(m, "text").cast("string").alias("text"), cell(w, "num").cast("double").alias("wnum"), cell(w, "text").cast("string").alias("wtext"),
+            cell(d, "date").cast("string").alias("day"), cell(a, "num").cast("double").alias("amount"), F.lit(mine.where_col.kind if w else None).cast("string").alias("wk"),
+        )
+        return self._passing(r, out if mine is not None else out.where("false"))

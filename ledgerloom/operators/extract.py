@@ -159,28 +159,44 @@ def extract(payloads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tables, facts, values
 
 
-def facts_of_frame(df: DataFrame, table_uid: str, id_col: str, roles: dict[str, str], label: str | None = None, source: str | None = None, uid_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(fact_tables, facts, fact_values) of an ordinary typed table, without reading text back.
+def frame_columns(df: DataFrame, table_uid: str, id_col: str, roles: dict[str, str], label: str | None = None, source: str | None = None, uid_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, head) of an ordinary typed table taken as a fact table.
 
-    roles names the columns to take over and their roles. With uid_col every
-    value of that column is a table of its own (table_uid/value).
+    rows: table_uid, id, row, locator, label and a struct cell_<column> of text,
+    num and date per column of roles. head: the one row that all its tables have
+    in the catalogue, without table_uid, doc_id and counts.
     """
     types = dict(df.dtypes)
-    uid = F.concat(F.lit(table_uid + "/"), F.col(uid_col).cast("string")) if uid_col else F.lit(table_uid)
-    base = df.withColumn("__uid", uid).withColumn("__id", F.xxhash64("__uid", id_col)).withColumn("__row", F.col(id_col).cast("int"))
     numeric = {c for c in roles if types[c].startswith(("int", "bigint", "double", "float", "decimal", "smallint"))}
     dated = {c for c in roles if types[c].startswith(("date", "timestamp"))}
     kind = lambda c: "number" if c in numeric else "date" if c in dated else "text"
+    uid = F.concat(F.lit(table_uid + "/"), F.col(uid_col).cast("string")) if uid_col else F.lit(table_uid)
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd")
     cell = lambda c: F.struct(
-        F.lit(c).alias("col"), (F.date_format(c, "yyyy-MM-dd") if c in dated else F.col(c).cast("string")).alias("text"),
-        (F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("num"), (F.date_format(c, "yyyy-MM-dd") if c in dated else F.lit(None).cast("string")).alias("date"),
-    )
-    values = base.select(F.col("__id").alias("fact_id"), F.col("__uid").alias("table_uid"), F.explode(F.array(*map(cell, roles))).alias("c")).select("fact_id", "table_uid", "c.*").where("text is not null")
-    facts = base.select(F.col("__id").alias("id"), F.col("__uid").alias("table_uid"), F.col("__row").alias("row"), F.concat(F.lit("row "), F.col(id_col).cast("string")).alias("locator"), F.lit("data").alias("row_kind"), (F.col(label).cast("string") if label else F.lit("")).alias("label"))
-    columns = F.array(*[F.struct(F.lit(norm).alias("name"), F.lit(c).alias("raw"), F.lit(r).alias("role"), F.lit(kind(c)).alias("kind")) for c, r in roles.items() for norm in [c.replace("_", "")]])
-    values = values.withColumn("col", F.replace("col", F.lit("_"), F.lit("")))
-    tables = base.groupBy(F.col("__uid").alias("table_uid")).agg(F.count("*").cast("int").alias("n_rows")).select(
-        "table_uid", F.col("table_uid").alias("doc_id"), F.lit(source or table_uid).alias("source"), F.lit(None).cast("string").alias("sheet"), F.lit(None).cast("int").alias("page"), F.lit("ledger").alias("doc_type"), F.lit(None).cast("string").alias("year"),
-        "n_rows", F.col("n_rows").alias("n_rows_indexed"), F.col("n_rows").alias("n_rows_total"), F.col("n_rows").alias("n_rows_seen"), F.lit(0).alias("n_total_rows"), F.lit("records").alias("layout"), columns.alias("columns"),
+        (iso(c) if c in dated else F.col(c).cast("string")).alias("text"), (F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("num"), (iso(c) if c in dated else F.lit(None).cast("string")).alias("date")
+    )
+    rows = df.select(
+        uid.alias("table_uid"), F.xxhash64(uid, F.col(id_col)).alias("id"), F.col(id_col).cast("int").alias("row"), F.concat(F.lit("row "), F.col(id_col).cast("string")).alias("locator"),
+        (F.col(label).cast("string") if label else F.lit("")).alias("label"), *[cell(c).alias(f"cell_{c}") for c in roles],
     )
+    columns = F.array(*[F.struct(F.lit(c.replace("_", "")).alias("name"), F.lit(c).alias("raw"), F.lit(r).alias("role"), F.lit(kind(c)).alias("kind")) for c, r in roles.items()])
+    none = lambda t: F.lit(None).cast(t)
+    head = df.sparkSession.range(1).select(
+        F.lit(source or table_uid).alias("source"), none("string").alias("sheet"), none("int").alias("page"), F.lit("ledger").alias("doc_type"), none("string").alias("year"), F.lit(0).alias("n_total_rows"), F.lit("records").alias("layout"), columns.alias("columns")
+    )
+    return rows, head
+
+
+def facts_of_frame(df: DataFrame, table_uid: str, id_col: str, roles: dict[str, str], label: str | None = None, source: str | None = None, uid_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fact_tables, facts, fact_values) of an ordinary typed table, without reading text back.
+
+    roles names the columns to take over and their roles. With uid_col every
+    value of that column is a table of its own (table_uid/value).
+    """
+    rows, head = frame_columns(df, table_uid, id_col, roles, label, source, uid_col)
+    cells = F.array(*[F.struct(F.lit(c.replace("_", "")).alias("col"), f"cell_{c}.text", f"cell_{c}.num", f"cell_{c}.date") for c in roles])
+    values = rows.select(F.col("id").alias("fact_id"), "table_uid", F.explode(cells).alias("c")).select("fact_id", "table_uid", "c.*").where("text is not null")
+    facts = rows.select("id", "table_uid", "row", "locator", F.lit("data").alias("row_kind"), "label")
+    counted = rows.groupBy("table_uid").agg(F.count("*").cast("int").alias("n"))
+    tables = counted.join(F.broadcast(head)).select("table_uid", F.col("table_uid").alias("doc_id"), "source", "sheet", "page", "doc_type", "year", F.col("n").alias("n_rows"), F.col("n").alias("n_rows_indexed"), F.col("n").alias("n_rows_total"), F.col("n").alias("n_rows_seen"), "n_total_rows", "layout", "columns")  # one row
     return tables, facts, values

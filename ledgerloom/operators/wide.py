@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import key, norm_col, strip
 from ..functions.values import read_amount, read_date
+from ..session import cut
 from .skew import salted_join
 
 CATALOGUE = "array<struct<name:string,raw:string,role:string,kind:string>>"
@@ -60,35 +61,75 @@ def cell_issues(fact_values: DataFrame, fact_tables: DataFrame) -> DataFrame:
     return per.select("fact_id", "col", F.explode(F.array_compact(F.array(named("mistyped"), named("conflict")))).alias("issue"))
 
 
-def attributes(columns: DataFrame, max_attributes: int = 2000) -> list[tuple[str, str]]:
+def kinds_of_tables(columns: DataFrame) -> DataFrame:
+    """table_uid, table_kind, signature: tables of the same typed columns are of one kind, named by the hash of the list."""
+    named = F.concat(F.col("col"), F.lit(":"), F.coalesce("kind", F.lit("text")))
+    per = columns.where("col <> ''").groupBy("table_uid").agg(F.array_join(F.sort_array(F.collect_set(named)), "|").alias("signature"))
+    return per.select("table_uid", F.left(F.md5("signature"), F.lit(12)).alias("table_kind"), "signature")
+
+
+def attributes(columns: DataFrame, max_attributes: int = 20_000) -> list[tuple[str, str]]:
     """(column, kind) over the whole catalogue, sorted; raises beyond max_attributes.
 
     An attribute that has several kinds in different tables comes out once per kind.
     """
     rows = columns.where("col <> ''").select("col", F.coalesce("kind", F.lit("text")).alias("kind")).distinct().orderBy("col", "kind").limit(max_attributes + 1).collect()
     if len(rows) > max_attributes:
-        raise ValueError(f"more than {max_attributes} attributes; pivot by kind of table")
+        raise ValueError(f"more than {max_attributes} attributes in one schema; wide_tables gives one per kind of table")
     return [(r.col, r.kind) for r in rows]
 
 
-def wide_table(fact_values: DataFrame, fact_tables: DataFrame, max_attributes: int = 2000) -> DataFrame:
-    """One row per fact, one typed column per attribute (number double, date date, else string).
+def pivot(cells: DataFrame, found: list[tuple[str, str]], block: int = 400) -> DataFrame:
+    """fact_id, table_uid, n_cells and a typed column per attribute, one conditional aggregate each.
 
-    The attribute list and types are discovered first from the catalogue; then a
-    single shuffle holds one conditional aggregate per attribute. Of duplicate
-    cells the latest readable value wins, ties go to the larger value. Facts
-    without any readable cell do not come out. An attribute of several kinds
-    gets a column per kind, with the kind as suffix; so does a clash with
-    fact_id or table_uid.
+    Of duplicate cells the latest readable value wins, ties go to the larger
+    value. More than ``block`` attributes are aggregated in blocks, each over
+    its own cells, and joined by fact.
     """
-    columns = catalogue(fact_tables)
-    found = attributes(columns, max_attributes)
     names = [n for n, _ in found]
+    kind_of = F.coalesce("kind", F.lit("text"))
 
     def one(name: str, kind: str) -> Column:
         v = F.col({"number": "number", "date": "day"}.get(kind, "text"))
-        mine = (F.col("col") == name) & (F.coalesce("kind", F.lit("text")) == kind) & v.isNotNull()
-        out = f"{name}__{kind}" if names.count(name) > 1 or name in ("fact_id", "table_uid") else name
-        return F.max_by(v, F.when(mine, F.struct("loaded_at", v.cast("string")))).alias(out)
+        mine = (F.col("col") == name) & (kind_of == kind) & v.isNotNull()
+        out = f"{name}__{kind}" if names.count(name) > 1 or name in ("fact_id", "table_uid", "n_cells") else name
+        return F.max_by(v, F.when(mine, F.struct("loaded_at", v.alias("v")))).alias(out)
+
+    by = ["fact_id", "table_uid"]
+    out = cells.groupBy(*by).agg(F.count("*").alias("n_cells"), *[one(n, k) for n, k in found[:block]])
+    for a in range(block, len(found), block):
+        part = found[a : a + block]
+        out = out.join(cells.where(F.col("col").isin(*[n for n, _ in part])).groupBy(*by).agg(*[one(n, k) for n, k in part]), by, "left")
+    return out
+
+
+def wide_table(fact_values: DataFrame, fact_tables: DataFrame, max_attributes: int = 20_000, block: int = 400) -> DataFrame:
+    """One row per fact of any table, one typed column per attribute (number double, date date, else string).
+
+    The attribute list and types are discovered first from the catalogue. Of
+    duplicate cells the latest readable value wins, ties go to the larger
+    value. Facts without any readable cell do not come out. An attribute of
+    several kinds gets a column per kind, with the kind as suffix; so does a
+    clash with fact_id, table_uid or n_cells. The schema of a frame has its
+    columns on the driver: beyond max_attributes this raises, and
+    ``wide_tables`` is the way.
+    """
+    columns = catalogue(fact_tables)
+    found = attributes(columns, max_attributes)
+    c = cells(fact_values, columns)
+    return pivot(cut(c, "cells") if len(found) > block else c, found, block)
+
+
+def wide_tables(fact_values: DataFrame, fact_tables: DataFrame, block: int = 400) -> dict[str, DataFrame]:
+    """table_kind -> one row per fact of the tables of that kind, with the columns of that kind only.
 
-    return cells(fact_values, columns).groupBy("fact_id", "table_uid").agg(F.count("*").alias("n_cells"), *[one(n, k) for n, k in found])
+    Kinds are those of ``kinds_of_tables``; the rows are as in ``wide_table``.
+    The cells are read and typed once for all kinds and written by kind. An
+    empty catalogue gives no frames.
+    """
+    columns = catalogue(fact_tables)
+    kinds = cut(kinds_of_tables(columns), "kinds")
+    listed = {r.table_kind: r.signature for r in kinds.groupBy("table_kind").agg(F.min("signature").alias("signature")).collect()}  # one row a schema
+    c = cut(cells(fact_values, columns).join(kinds.select("table_uid", "table_kind"), "table_uid").sortWithinPartitions("table_kind"), "cells")
+    typed = lambda signature: [tuple(x.rsplit(":", 1)) for x in signature.split("|")]
+    return {k: pivot(c.where(F.col("table_kind") == k), typed(s), block) for k, s in sorted(listed.items())}

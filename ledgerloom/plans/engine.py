@@ -10,8 +10,8 @@ from ..functions import archive as A
 from ..functions import grounding as G
 from ..functions.text import key, norm_col
 from ..operators import records as R
-from ..operators.aggregate import FactStore, Request
-from ..operators.extract import column_role, facts_of_frame, running_balances
+from ..operators.aggregate import FactStore, FrameStore, Request
+from ..operators.extract import column_role, running_balances
 from ..operators.metrics import retrieval_metrics
 from ..operators.retrieval import bm25_topk, cosine, dense_topk, fuse
 from ..session import table
@@ -39,7 +39,7 @@ ORDER_ROLES = {"o_custkey": "identifier", "o_orderstatus": "label", "o_totalpric
 
 
 def orders_store(t, **more) -> FactStore:
-    return FactStore(*facts_of_frame(t("orders"), "orders", "o_orderkey", ORDER_ROLES, label="o_orderpriority", **more))
+    return FrameStore(t("orders"), "orders", "o_orderkey", ORDER_ROLES, label="o_orderpriority", **more)
 
 
 _F = {"where_column": "o_orderstatus", "where_value": "F", "period": "Q3 1996"}

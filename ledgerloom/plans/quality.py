@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.orphans import Reference, orphan_references
-from ..operators.wide import catalogue, cell_issues, wide_table
+from ..operators.wide import catalogue, cell_issues, kinds_of_tables, wide_table, wide_tables
 from ..session import table
 
 
@@ -41,10 +41,25 @@ def p6_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wide_table(table(spark, sf_dir, "fact_values"), table(spark, sf_dir, "fact_tables"))
+    """One wide row per fact; dates as the timestamp of their midnight, as the comparison with SQL reads them."""
+    wide = wide_table(table(spark, sf_dir, "fact_values"), table(spark, sf_dir, "fact_tables"))
+    return wide.select(*[F.col(c).cast("timestamp_ntz").alias(c) if k == "date" else F.col(c) for c, k in wide.dtypes])
 
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p6_found": p6_found, "p6_catalogue": p6_catalogue, "p6_wide": p6_wide}
+def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of tables with their typed columns, tables and wide rows: each kind's rows have the columns of that kind only."""
+    tables = table(spark, sf_dir, "fact_tables")
+    kinds = kinds_of_tables(catalogue(tables)).groupBy("table_kind", "signature").agg(F.count("*").alias("n_tables"))
+    per = [w.agg(F.count("*").alias("n_facts"), F.sum("n_cells").alias("n_cells")).select(F.lit(k).alias("table_kind"), F.lit(len(w.columns) - 3).alias("n_columns"), "n_facts", "n_cells") for k, w in wide_tables(table(spark, sf_dir, "fact_values"), tables).items()]
+    if not per:
+        return kinds.selectExpr("signature", "n_tables", "0 n_columns", "0L n_facts", "0L n_cells")
+    rows = per[0]
+    for more in per[1:]:
+        rows = rows.unionByName(more)
+    return kinds.join(rows, "table_kind").select("signature", "n_tables", "n_columns", "n_facts", F.coalesce("n_cells", F.lit(0)).alias("n_cells"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p6_found": p6_found, "p6_catalogue": p6_catalogue, "p6_wide": p6_wide, "p6_kinds": p6_kinds}
 
 _BLANKS = r"' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160)"
 _KEY = "nullif(lower(trim({c}, " + _BLANKS + ")), '')"
@@ -78,13 +93,13 @@ with cat as (select table_uid, col, arg_max(kind, (loaded_at, pos)) kind from (
 
 _CELLS = f"""{_CATALOGUE},
 raw as (select fact_id, {_KEY.format(c='table_uid')} table_uid,
-    regexp_replace(strip_accents(replace(lower(col), 'ß', 'ss')), '[^0-9a-z]', '', 'g') col,
+    regexp_replace(strip_accents(replace(lower(col), 'ß', 'ss')), '[^0-9a-z]', '', 'g') col, loaded_at,
     nullif(trim("text", {_BLANKS}), '') txt, num, nullif(trim("date", {_BLANKS}), '') d from fact_values),
 known as (select r.*, c.kind from raw r join cat c on c.table_uid = r.table_uid and c.col = r.col
   where fact_id is not null and (txt is not null or num is not null or d is not null)),
 marked as (select *, regexp_replace(regexp_replace(regexp_replace(txt, '^([+-]?|[(]) *(EUR|€) *', '\\1', 'i'), ' *(EUR|€) *([)]?)$', '\\2', 'i'), '^[(]([^()+-]*)[)]$', '-\\1') s from known),
 bare as (select *, case when s like '-%' then -1.0 else 1.0 end sign, trim(regexp_replace(s, '^[+-] *', '')) b from marked),
-typed as (select fact_id, col, kind, txt,
+typed as (select fact_id, table_uid, loaded_at, col, kind, txt,
   case when kind = 'number' then coalesce(num, cast(sign * case
     when regexp_matches(b, '^[0-9]+$') then try_cast(b as double)
     when regexp_matches(b, '^[1-9][0-9]{{0,2}}([.][0-9]{{3}})+(,[0-9]+)?$') then try_cast(replace(replace(b, '.', ''), ',', '.') as double)
@@ -98,6 +113,14 @@ typed as (select fact_id, col, kind, txt,
       then try_cast(regexp_replace(txt, '^([0-9]+).([0-9]+).([0-9]{{4}}).*$', '\\3-\\2-\\1') as date) end) end dy
   from bare)"""
 
+#: columns of the archive's tables by type, for the SQL of the wide table only
+_COLUMNS = {
+    "number": "2023eur 2024eur abweichung amounteur betrageur geschaftsjahr ist2025eur laufzeitmonate monatsrateeur nettobetrageur plan2025eur prixunitaireeur quantite saldoeur version",
+    "dy": "beginn buchungsdatum datum echeance ende falligam valuedate",
+    "txt": "belegnr belegnummer bezeichnung counterparty designation dokumenttyp konto kunde kundigung partner position posten quartal rechnungsnummer reference status strasse vertragsnummer verwendungszweck wahrung",
+}
+_WIDE = ", ".join(f"""cast(arg_max({v}, (loaded_at, {v})) filter (col = '{n}' and {v} is not null) as {'timestamp' if v == 'dy' else 'double' if v == 'number' else 'varchar'}) \"{n}\"""" for v, names in _COLUMNS.items() for n in names.split())
+
 ORACLE = {
     "p2_found": _ORPHANS + "select distinct child_table, ref_key, period, state from graded where state is not null",
     "p2_report": _ORPHANS
@@ -109,5 +132,10 @@ select child_table, period, case when m then 'missing' when d then 'deleted' els
   count(distinct number) > 1 or count(distinct dy) > 1 or count(distinct case when kind not in ('number', 'date') then txt end) > 1 conflict
   from typed group by 1, 2)
 select fact_id, col, 'mistyped' issue from per where mistyped union all select fact_id, col, 'conflict' from per where conflict""",
+    "p6_wide": _CELLS + f" select fact_id, table_uid, count(*) n_cells, {_WIDE} from typed group by 1, 2",
+    "p6_kinds": _CELLS
+    + """, sig as (select table_uid, string_agg(col || ':' || coalesce(kind, 'text'), '|' order by col || ':' || coalesce(kind, 'text')) signature, count(*) n_columns from cat where col <> '' group by 1),
+per as (select signature, count(*) n_facts, sum(n) n_cells from (select fact_id, table_uid, count(*) n from typed group by 1, 2) join sig using (table_uid) group by 1)
+select signature, count(*) n_tables, any_value(n_columns) n_columns, any_value(n_facts) n_facts, cast(any_value(n_cells) as bigint) n_cells from sig join per using (signature) group by 1""",
     "p6_catalogue": _CATALOGUE + " select col, kind, count(*) n_tables from cat group by 1, 2",
 }

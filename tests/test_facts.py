@@ -1,7 +1,7 @@
 import pytest
 
-from ledgerloom.operators.aggregate import FactStore
-from ledgerloom.operators.extract import extract
+from ledgerloom.operators.aggregate import FactStore, FrameStore
+from ledgerloom.operators.extract import extract, facts_of_frame
 from ledgerloom.plans.render import render
 from ledgerloom.session import cut
 from ledgerloom.sources.files import describe, elements_of, payloads_of
@@ -135,3 +135,20 @@ def test_colliding_headers(spark):
 def test_empty(spark):
     s = store_of(spark, {"a.md": "# nothing\n"})
     assert not s.aggregate("count").ok
+
+
+def test_typed_tables_give_what_their_cells_give(spark):
+    """A FrameStore against a FactStore over the same table as attribute-value rows, for every operation and filter."""
+    import datetime as dt
+    import random
+
+    r = random.Random(1)
+    rows = [(i, r.choice("ABC"), r.choice([None, round(r.uniform(-50, 50), 2)]), r.choice([None, "offen", "bezahlt", ""]), r.choice([None, dt.date(2025, r.randint(1, 12), 3)]), r.choice([None, 7, 8])) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, kind string, betrag double, status string, datum date, kunde_nr int")
+    roles = {"betrag": "amount", "status": "label", "datum": "date", "kunde_nr": "identifier"}
+    more = {"label": "status", "uid_col": "kind"}
+    wide, tall = FrameStore(df, "t", "id", roles, **more), FactStore(*(cut(x, "tall") for x in facts_of_frame(df, "t", "id", roles, **more)))
+    cases = [("average", "Betrag", {"period": "Q2 2025"}), ("distinct", "status", {}), ("breakdown", "status", {"where_column": "kunde_nr", "where_value": "7"}), ("sum", "kundenr", {}), ("min", "betrag", {"where_column": "status", "where_value": "OFF"}), ("count", "", {"period": "nie"})]
+    for op, column, scope in cases:
+        a, b = wide.aggregate(op, column=column, **scope), tall.aggregate(op, column=column, **scope)
+        assert (a.ok, a.value, a.matched_rows, a.scanned_rows, a.n_tables, a.error, a.refused, a.warnings, a.groups) == (b.ok, b.value, b.matched_rows, b.scanned_rows, b.n_tables, b.error, b.refused, b.warnings, b.groups), (op, column, scope)

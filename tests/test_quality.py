@@ -1,10 +1,11 @@
 import datetime as dt
+import json
 
 import pytest
 
 from ledgerloom.operators.orphans import Reference, orphan_references
 from ledgerloom.operators.skew import hot_keys, salted_join
-from ledgerloom.operators.wide import attributes, catalogue, cell_issues, wide_table
+from ledgerloom.operators.wide import attributes, catalogue, cell_issues, wide_table, wide_tables
 
 
 def day(d, m=1):
@@ -68,11 +69,26 @@ def test_wide(spark):
     with pytest.raises(ValueError):
         attributes(catalogue(tables), 2)
     assert wide_table(values.where("false"), tables).count() == 0
+    by_block = {tuple(r) for r in wide_table(values, tables, block=1).collect()}
+    assert by_block == {tuple(r) for r in got.values()}
+    ties, _ = frames(spark, [(5, "t1", "betrag", None, 9.0, None, day(1)), (5, "t1", "betrag", "10", None, None, day(1)), (5, "t1", "datum", "9.1.2025", None, None, day(1)), (5, "t1", "datum", "10.1.2025", None, None, day(1))])
+    assert [(r.betrag, r.datum) for r in wide_table(ties, tables).collect()] == [(10.0, dt.date(2025, 1, 10))]
 
 
 def test_salted_join(spark):
     left = spark.createDataFrame([("hot", i) for i in range(900)] + [(f"k{i}", i) for i in range(100)] + [(None, 1)], "k string, i int")
     right = spark.createDataFrame([("hot", 1), ("k5", 2), ("zz", 3), (None, 4)], "k string, v int")
-    assert hot_keys(left, ["k"], 4) == [("hot",)]
+    assert [k for k, _ in hot_keys(left, ["k"], 4)] == [("hot",)]
     assert salted_join(left, right, "k", "i", max_hot=4).count() == 901
     assert salted_join(left.where("false"), right, "k", "i").count() == 0
+
+
+def test_wide_tables_by_kind(spark):
+    names = lambda *c: json.dumps([{"name": n, "raw": n, "role": "x", "kind": k} for n, k in c])
+    at = dt.datetime(2025, 1, 1)
+    tables = spark.createDataFrame([("a", names(("x", "number"), ("y", "text")), at), ("b", names(("y", "text"), ("x", "number")), at), ("c", names(("x", "text"), ("zahl", "number")), at), ("d", None, at), (None, names(("x", "number")), at)], "table_uid string, column_json string, loaded_at timestamp_ntz")
+    cells = [(1, "a", "x", "1", None, None, at), (1, "a", "y", "u", None, None, at), (2, "B ", "X", "2", None, None, at), (3, "c", "x", "3", None, None, at), (3, "c", "Zahl", "7", None, None, at), (4, "zz", "x", "3", None, None, at), (None, "a", "x", "1", None, None, at)]
+    values = spark.createDataFrame(cells, "fact_id long, table_uid string, col string, text string, num double, date string, loaded_at timestamp_ntz")
+    got = sorted(([sorted(w.columns), sorted(tuple(r[c] for c in sorted(w.columns)) for r in w.collect())] for w in wide_tables(values, tables).values()), key=str)
+    assert got == [[["fact_id", "n_cells", "table_uid", "x", "y"], [(1, 2, "a", 1.0, "u"), (2, 1, "b", 2.0, None)]], [["fact_id", "n_cells", "table_uid", "x", "zahl"], [(3, 2, "c", "3", 7.0)]]]
+    assert wide_tables(values, tables.where("false")) == {} and all(w.count() == 0 for w in wide_tables(values.where("false"), tables).values())
