@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .operators import records
 from .operators.aggregate import FactStore, Result
 from .operators.retrieval import artifacts, search_or_unfiltered
-from .plans.render import render
+from .plans.render import inventory_text, render
 from .sources.files import SUFFIXES, describe, elements_of, passages_of
 from .sources.index import hashing_embedder, read_index
 from .streaming.sessions import MAX_BYTES, MAX_CHUNKS, MAX_FILES, SessionRegistry
@@ -38,23 +38,29 @@ class Engine:
     facts: FactStore
     embed: Callable[[DataFrame], DataFrame] = field(default_factory=hashing_embedder)
     registry: SessionRegistry = field(default_factory=SessionRegistry)
+    postings: DataFrame | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, index: str, **more) -> Engine:
         """The engine over an index written by ``build_index``."""
         t = read_index(spark, index)
-        return cls(spark, t["documents"], t["chunks"], FactStore(t["fact_tables"], t["facts"], t["fact_values"], t["documents"]), **more)
+        return cls(spark, t["documents"], t["chunks"], FactStore(t["fact_tables"], t["facts"], t["fact_values"], t["documents"]), postings=t.get("postings"), **more)
 
     def vector(self, query: str) -> list[float] | None:
         return self.embed(self.spark.createDataFrame([(query,)], "text string")).first().embedding
 
     def search(self, query: str, doc_type: str = "", year: str = "", k: int = 6, channel: str = "hybrid") -> tuple[DataFrame, bool]:
         """(hits, whether the filters had to be dropped because nothing passed them)."""
-        return search_or_unfiltered(self.chunks, query, self.vector(query), doc_type=doc_type, year=year, k=k, channel=channel)
+        index = self.postings if "n_tokens" in self.chunks.columns else None
+        return search_or_unfiltered(self.chunks, query, self.vector(query), doc_type=doc_type, year=year, k=k, channel=channel, index=index)
 
     def inventory(self, doc_type: str = "", year: str = "") -> DataFrame:
         return records.inventory(self.documents, self.chunks, doc_type, year)
 
+    def list_documents(self, doc_type: str = "", year: str = "") -> str:
+        """The inventory as text: documents, a warning beyond the envelope, the tables with what their columns allow."""
+        return inventory_text(self.inventory(doc_type.strip(), year.strip()), self.stats().first(), self.facts.tables, doc_type, year, ENVELOPE)
+
     def tables_of(self, doc_type: str = "", year: str = "") -> DataFrame:
         """Columns and roles of the tables of the documents in the inventory."""
         return self.facts.available_columns().join(self.inventory(doc_type, year).select("source").distinct(), "source", "left_semi")
@@ -110,6 +116,15 @@ def writer_passages(evidence: DataFrame, order: str, budget: int, limit: int = 1
     return records.within_budget(top, "__n", [F.col(order)], budget).drop("__n")
 
 
+def write_report(evidence: DataFrame, order: str, budget: int, write: Callable[[list[str]], str]) -> str:
+    """What ``write`` makes of the passages; if that is empty, of half as many, each clipped to 400 characters."""
+    full = [r.text for r in writer_passages(evidence, order, budget).orderBy(order).collect()]  # at most 12
+    text = write(full)
+    if text.strip() or not full:
+        return text
+    return write([r.text for r in writer_passages(evidence, order, budget, max(1, len(full) // 2), 400).orderBy(order).collect()])
+
+
 def likely_targets(queries: DataFrame, n: int) -> DataFrame:
     """expect_source, n_queries: the n documents that most queries expect, ties by name."""
     return queries.groupBy("expect_source").agg(F.count("*").alias("n_queries")).orderBy(F.desc("n_queries"), "expect_source").limit(n)

@@ -183,7 +183,7 @@ def format_amount(c: Column) -> Column:
 
 def format_bytes(c: Column) -> Column:
     """KB below one MB, else MB with one decimal."""
-    return F.when(c < 1024 * 1024, F.format_string("%.0f KB", c / 1024.0)).otherwise(F.format_string("%.1f MB", c / (1024.0 * 1024)))
+    return F.when(c < 1024 * 1024, F.format_string("%.0f KB", F.bround(c / 1024.0))).otherwise(F.format_string("%.1f MB", c / (1024.0 * 1024)))
 
 
 def html_text(html: Column, limit: int | None = 4000) -> Column:

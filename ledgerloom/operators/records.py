@@ -85,6 +85,41 @@ def padded_subset(documents: DataFrame, chunks: DataFrame, targets: DataFrame, b
     return wanted.unionByName(pad.unionByName(free).select("doc_id", "n_chunks"))
 
 
+def evaluation_conditions(documents: DataFrame, chunks: DataFrame, targets: DataFrame, confusable: DataFrame, sizes: dict[str, int], seed: str = "0") -> DataFrame:
+    """condition, doc_id, n_chunks: the archives on which retrieval is compared.
+
+    'targets-only'; 'confusable-only', the targets with what is easily taken for
+    them; 'disjoint@<size>', the targets padded with the rest up to a number of
+    passages; 'disjoint@max', with all of the rest; 'both@<size>', all three.
+    """
+    want, near = targets.select("doc_id").distinct(), confusable.select("doc_id").distinct().join(targets.select("doc_id"), "doc_id", "left_anti")
+    apart = documents.join(near, "doc_id", "left_anti")
+    both = want.unionByName(near)
+    none = documents.where("false")
+    grid = {"targets-only": (none, want, 0), "confusable-only": (none, both, 0), "disjoint@max": (apart, want, None)}
+    grid |= {f"disjoint@{n}": (apart, want, size) for n, size in sizes.items()} | {f"both@{n}": (documents, both, size) for n, size in sizes.items()}
+    out = None
+    for name, (rest, kept, size) in grid.items():
+        among = rest.select("doc_id").unionByName(kept)
+        if size is None or size == 0:
+            sized = among.distinct().join(chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks")), "doc_id", "left").select("doc_id", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+        else:
+            sized = padded_subset(among, chunks, kept, size, seed)
+        one = sized.select(F.lit(name).alias("condition"), "doc_id", "n_chunks")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def audit_trail(audit: DataFrame, thread_id: str) -> DataFrame:
+    """The entries of one job in the order of their ids, each once."""
+    return audit.where(F.col("thread_id") == thread_id).dropDuplicates(["id"]).orderBy("id")
+
+
+def recent_jobs(threads: DataFrame, limit: int = 100) -> DataFrame:
+    """The latest jobs, newest first, ties by id."""
+    return threads.orderBy(F.desc("created_at"), "thread_id").limit(limit)
+
+
 def parse_status(kinds: DataFrame) -> DataFrame:
     """doc_id, status: 'error' if a notice is a parse error, 'partial' if there is any notice, else 'ok'."""
     notice = F.col("kind") == "notice"
@@ -92,5 +127,5 @@ def parse_status(kinds: DataFrame) -> DataFrame:
 
 
 def scrub(tables: dict[str, DataFrame], thread_id: str) -> dict[str, DataFrame]:
-    """Every table that has a thread_id, without the rows of one thread. The files must then be rewritten."""
+    """Every table that has a thread_id, without the rows of one thread; ``sources.results.scrub_files`` also rewrites the files."""
     return {n: t.where(F.coalesce(F.col("thread_id") != thread_id, F.lit(True))) if "thread_id" in t.columns else t for n, t in tables.items()}

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.archive import has_literal_anchor, query_terms
 from ..functions.text import fold_accents
+from ..session import cut, spread
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF_K, SOFT_WEIGHT = 60, 0.25
@@ -47,10 +48,15 @@ def folded_tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold_accents(F.lower(F.coalesce(text, F.lit("")))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def postings(chunks: DataFrame, id_col: str = "id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(term, id, tf) and (id, length): the inverted index of a set of passages, derived, never maintained."""
-    t = chunks.select(F.col(id_col).alias("id"), folded_tokens(F.col(text_col)).alias("tokens"))
-    return t.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf")), t.select("id", F.size("tokens").alias("length"))
+def postings(chunks: DataFrame, id_col: str = "id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """term, id, tf, length: the inverted index of a set of passages, with the length of each passage in tokens.
+
+    A passage's rows follow from its text alone, so the index is kept up to
+    date by replacing the rows of passages that change.
+    """
+    t = chunks.select(F.col(id_col).alias("id"), folded_tokens(F.col(text_col)).alias("tokens"), *keep)
+    rows = t.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"), *keep)
+    return rows.groupBy("term", "id", "length", *keep).agg(F.count("*").alias("tf"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -61,8 +67,9 @@ def idf(n: Column, df: Column) -> Column:
 def bm25_topk(chunks: DataFrame, query: str, k: int = 50, where: Column | None = None, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """id, score, rank: BM25 of the passages that hold any query term; a repeated term counts each time.
 
-    Statistics are those of the passages that pass the filter. One scan counts
-    them, a second one scores; nothing is shuffled but k rows.
+    Statistics are those of the passages that pass the filter. The texts are
+    read once: what the score needs of each passage that holds a term is
+    written, then scored with the statistics. Nothing is shuffled but k rows.
     """
     spark = chunks.sparkSession
     c = chunks if where is None else chunks.where(where)
@@ -70,10 +77,10 @@ def bm25_topk(chunks: DataFrame, query: str, k: int = 50, where: Column | None =
     if not terms:
         return _ranked(c.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where("false"), k)
     distinct = list(dict.fromkeys(terms))
-    tokens = c.select(F.col(id_col).alias("id"), folded_tokens(F.col(text_col)).alias("tokens"))
+    tokens = spread(c.select(F.col(id_col).alias("id"), F.col(text_col).alias(text_col))).select("id", folded_tokens(F.col(text_col)).alias("tokens"))
     met = tokens.select("id", F.size("tokens").alias("length"), F.filter("tokens", lambda x: x.isin(*distinct)).alias("met"))
     times = lambda term: F.size(F.filter("met", lambda x: x == F.lit(term)))
-    counted = met.select("id", "length", F.array(*map(times, distinct)).alias("tf"))
+    counted = cut(met.select("id", "length", F.array(*map(times, distinct)).alias("tf")), "met")
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(distinct))])
     joined = counted.join(F.broadcast(stats))  # one row of statistics
     weight = lambda i: F.lit(float(terms.count(distinct[i]))) * idf(F.col("n"), F.col(f"df{i}"))
@@ -82,6 +89,27 @@ def bm25_topk(chunks: DataFrame, query: str, k: int = 50, where: Column | None =
     return _ranked(joined.select("id", score.alias("score")).where("score > 0"), k)  # on the score, as a filter on tf would count it twice
 
 
+def bm25_stored(index: DataFrame, lengths: DataFrame, query: str, k: int = 50) -> DataFrame:
+    """id, score, rank: the same as ``bm25_topk`` from stored postings.
+
+    index is what ``postings`` gave, lengths (id, n_tokens) of all passages that
+    take part: those that pass the filter. Only the postings of the query's
+    terms are read; no text is.
+    """
+    terms = index.sparkSession.range(1).select(query_terms(F.lit(query)).alias("t")).first().t
+    if not terms:
+        return _ranked(lengths.select("id", F.lit(0.0).alias("score")).where("false"), k)
+    times = {t: float(terms.count(t)) for t in terms}
+    met = index.where(F.col("term").isin(*times)).select("term", "id", "tf").join(lengths.select("id", F.col("n_tokens").alias("length")), "id")
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("mean"))
+    per_term = met.groupBy("term").agg(F.count("*").alias("df"))  # at most as many rows as the query has terms
+    asked = F.element_at(F.create_map(*[F.lit(x) for pair in times.items() for x in pair]), F.col("term"))
+    joined = met.join(F.broadcast(per_term), "term").join(F.broadcast(stats))
+    norm = K1 * (1 - B + B * F.col("length") / F.col("mean"))
+    score = asked * idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    return _ranked(joined.groupBy("id").agg(F.sum(score).alias("score")).where("score > 0"), k)
+
+
 def fuse(dense: DataFrame, lexical: DataFrame, k: int = 6, lexical_weight: float = 1.0) -> DataFrame:
     """id, score, in_dense, in_lexical, rank: weighted reciprocal ranks; ties by dense, then lexical rank."""
     side = lambda d, w, name: d.select("id", (F.lit(w) / (RRF_K + F.col("rank"))).alias("part"), F.when(F.lit(name == "d"), F.col("rank")).alias("dense_rank"), F.when(F.lit(name == "l"), F.col("rank")).alias("lexical_rank"))
@@ -92,9 +120,12 @@ def fuse(dense: DataFrame, lexical: DataFrame, k: int = 6, lexical_weight: float
     return top.select("id", F.round("score", 6).alias("score"), F.col("dense_rank").isNotNull().alias("in_dense"), F.col("lexical_rank").isNotNull().alias("in_lexical"), "rank")
 
 
-def search(chunks: DataFrame, query: str, query_vector: list[float] | None, k: int = 6, depth: int = 50, doc_type: str = "", year: str = "", channel: str = "hybrid", scope: str = "knowledge_base") -> DataFrame:
+def search(chunks: DataFrame, query: str, query_vector: list[float] | None, k: int = 6, depth: int = 50, doc_type: str = "", year: str = "", channel: str = "hybrid", scope: str = "knowledge_base", index: DataFrame | None = None) -> DataFrame:
     """The k hits with their passages, by both channels or one of them ('dense', 'lexical').
 
+    With an index of stored postings (and n_tokens in chunks) the lexical
+    channel reads these instead of the texts.
+
     The lexical channel has full weight only if the query holds a literal
     anchor. Without a query vector the lexical channel ranks alone.
     """
@@ -105,7 +136,7 @@ def search(chunks: DataFrame, query: str, query_vector: list[float] | None, k: i
         where = where & (F.col("year") == year)
     none = chunks.select(F.col("id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).where("false")
     dense = dense_topk(chunks, query_vector, depth, where) if query_vector is not None and channel != "lexical" else none
-    lexical = bm25_topk(chunks, query, depth, where) if channel != "dense" else none
+    lexical = none if channel == "dense" else bm25_stored(index, chunks.where(where).select("id", "n_tokens"), query, depth) if index is not None else bm25_topk(chunks, query, depth, where)
     anchored = chunks.sparkSession.range(1).select(has_literal_anchor(F.lit(query)).alias("a")).first().a
     hits = fuse(dense, lexical, k, 1.0 if anchored or channel == "lexical" else SOFT_WEIGHT)
     kept = [c for c in chunks.columns if c not in ("embedding", "score", "rank", "scope", "in_dense", "in_lexical")]

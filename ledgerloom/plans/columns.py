@@ -8,14 +8,14 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Why a column of a role cannot be added up.
+#: roles whose columns are no quantities that add up, and why
 UNSUMMABLE = {
-    "balance": "a running balance already contains the rows before it; adding its rows means nothing",
-    "identifier": "it holds identifiers, not quantities",
-    "rate": "it holds rates, which need weights to be combined",
-    "period": "it holds periods, which label rows",
-    "date": "it holds dates",
-    "label": "it holds text",
+    "balance": "every row is the state after a booking; only the last one is the balance",
+    "identifier": "a number that names something has no sum",
+    "rate": "shares of different wholes do not add up without their weights",
+    "period": "years, quarters and the like say when, not how much",
+    "date": "days have no sum",
+    "label": "words have no sum",
 }
 OPERATIONS = ("count", "sum", "average", "min", "max", "distinct", "breakdown", "closing")
 ALIASES = {"avg": "average", "mean": "average"}

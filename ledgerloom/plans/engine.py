@@ -267,11 +267,6 @@ def format_amounts(t, spark, sf_dir):
     return t("orders").select("o_orderkey", A.format_amount(F.col("o_totalprice")).alias("shown"))
 
 
-@query()
-def numbers_in_text(t, spark, sf_dir):
-    return t("documents").select("doc_id", G.numbers_in(F.col("text")).alias("n")).select("doc_id", F.size("n").alias("n_figures"), F.array_max("n").cast("double").alias("greatest"))
-
-
 @query("select item_id, " + " or ".join(f"contains(lower(passage), '{m}')" for m in G.REFUSALS) + " refuses from eval_items")
 def refusals(t, spark, sf_dir):
     return t("eval_items").select("item_id", G.looks_like_refusal(F.col("passage")).alias("refuses"))
@@ -405,7 +400,7 @@ def status_last_value(t, spark, sf_dir):
 
 @query("select thread_id, status, created_at from threads order by created_at desc, thread_id limit 100")
 def registry_recent(t, spark, sf_dir):
-    return t("threads").select("thread_id", "status", "created_at").orderBy(F.desc("created_at"), "thread_id").limit(100)
+    return R.recent_jobs(t("threads").select("thread_id", "status", "created_at"))
 
 
 @query("select nullif(lower(trim(thread_id)), '') thread, count(distinct id) n, min(created_at) first_at, max(created_at) last_at from audit_log where trim(thread_id) <> '' group by 1")

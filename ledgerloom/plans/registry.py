@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import engine, quality
+from . import archive, engine, quality  # noqa: F401 - archive registers with engine
 
 _MODULES = (engine, quality)
 

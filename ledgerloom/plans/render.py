@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.aggregate import Result
 
 TABLES_SHOWN, AVAILABLE_SHOWN = 8, 12
+DOCUMENTS_LISTED, TABLES_LISTED = 1000, 25
 
 
 def amount(v) -> str:
@@ -48,3 +50,36 @@ def render(r: Result) -> str:
         if found:
             lines.append(f"{what.replace('_', ' ')}: " + ", ".join(found))
     return "\n".join(lines)
+
+
+def inventory_text(inventory: DataFrame, stats, tables: DataFrame, doc_type: str = "", year: str = "", envelope: int = 20_000) -> str:
+    """The documents of an inventory as text, then the tables that can be counted, with the roles of their columns.
+
+    Lists are bounded; what is left out is counted in a last line.
+    """
+    n = inventory.count()
+    if not n:
+        return f"no document of type '{doc_type}' and year '{year}'; without these filters everything is listed"
+    lines = [f"{stats.n_documents} documents, {stats.n_chunks} passages in the archive; {n} listed by these filters"]
+    if stats.beyond_envelope:
+        lines.append(f"WARNING: beyond {envelope} passages the first hit may be of the wrong type of document: compare its file name with the question before quoting a figure")
+    status = "parse_status" in inventory.columns
+    shown = inventory.limit(DOCUMENTS_LISTED).collect()
+    for d in shown:
+        mark = f" [!{d.parse_status}]" if status and d.parse_status not in (None, "ok") else ""
+        lines.append(f"- {d.source} | {d.doc_type or 'other'} | {d.year or 'no year'} | {d.n_chunks} passages{mark}")
+    if n > len(shown):
+        lines.append(f"... {n - len(shown)} more documents")
+    if status and not inventory.where("parse_status <> 'ok'").isEmpty():
+        lines.append("note: documents marked [!partial] or [!error] could not be read completely")
+    mine = tables.join(inventory.select("source").distinct(), "source", "left_semi")
+    m = mine.count()
+    if m:
+        lines.append(f"{m} tables can be counted or added up exactly:")
+        for t in mine.orderBy("source", "table_uid").limit(TABLES_LISTED).collect():
+            where = t.sheet or (f"page {t.page}" if t.page else "")
+            lines.append(f"- {t.source}" + (f" ({where})" if where else "") + f": {t.n_rows} rows | " + ", ".join(f"{c.raw} [{c.role}]" for c in t.columns))
+        if m > TABLES_LISTED:
+            lines.append(f"... {m - TABLES_LISTED} more tables; narrow by type or year")
+        lines.append("an [amount] can be added up; of a [balance] ask for the closing value; [identifier] and [period] only label rows")
+    return "\n".join(lines)

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,6 +77,26 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a table has fewer parts than these, before work that costs far more than moving them.
+
+    A large table has parts enough and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete what ``cut`` writes inside the block when it ends; frames built on it must be read inside."""
+    before = spark.__dict__.pop("_ledgerloom_cuts", [])
+    try:
+        yield
+    finally:
+        drop_cuts(spark)
+        spark.__dict__["_ledgerloom_cuts"] = before
+
+
 def drop_cuts(spark: SparkSession) -> int:
     """Delete the tables that ``cut`` wrote in this session; frames built on them can no longer be read."""
     paths = spark.__dict__.pop("_ledgerloom_cuts", [])

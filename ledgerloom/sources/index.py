@@ -1,7 +1,8 @@
 """The archive's index as Parquet folders, kept up to date by content hash.
 
-Layout: documents, chunks, fact_tables, facts, fact_values, each partitioned by
-the first two digits of doc_id, and meta with the name of the embedder. A run
+Layout: documents, chunks, postings, fact_tables, facts, fact_values, each
+partitioned by the first two digits of doc_id (postings sorted by term inside,
+so a query reads the row groups of its terms), and meta with the name of the embedder. A run
 parses only files whose content is not known, rewrites only the partitions they
 fall into and drops documents whose file is gone.
 """
@@ -14,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.extract import extract
+from ..operators.retrieval import folded_tokens, postings
 from ..operators.records import by_content, changed, parse_status
 from ..session import cut
 from .files import describe, elements_of, list_files, passages_of, payloads_of
 
-TABLES = ("documents", "chunks", "fact_tables", "facts", "fact_values")
+TABLES = ("documents", "chunks", "postings", "fact_tables", "facts", "fact_values")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -64,7 +66,8 @@ def _part(doc_id: str = "doc_id"):
 
 
 def _write(df: DataFrame, path: str) -> None:
-    df.withColumn("part", _part()).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    parted = df.withColumn("part", _part()).repartition("part")
+    (parted.sortWithinPartitions("part", "term") if "term" in df.columns else parted).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
 
 def build_index(spark: SparkSession, folder: str, index: str, embed_model: str = "hashing-64", embed: Callable[[DataFrame], DataFrame] | None = None, rebuild: bool = False) -> dict[str, int]:
@@ -97,8 +100,9 @@ def build_index(spark: SparkSession, folder: str, index: str, embed_model: str =
         now = F.current_timestamp()
         docs = head.join(about, "doc_id").join(status, "doc_id").withColumnRenamed("status", "parse_status").withColumn("ingested_at", now).withColumn("facts_at", now)
         tables, facts, values = extract(payloads_of(parsed, about))
+        passages = passages_of(parsed, about)
         made = {
-            "documents": docs, "chunks": (embed or hashing_embedder())(passages_of(parsed, about)), "fact_tables": tables,
+            "documents": docs, "chunks": (embed or hashing_embedder())(passages.withColumn("n_tokens", F.size(folded_tokens(F.col("text"))))), "postings": postings(passages, keep=("doc_id",)), "fact_tables": tables,
             "facts": facts, "fact_values": values.join(facts.select(F.col("id").alias("fact_id"), "doc_id"), "fact_id"),
         }
         touched = new.select("doc_id").union(gone.select("doc_id")).select(_part()).distinct()
