@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_pairs
-from ..session import ship
+from ..session import ship, spread
 
 _FOLD = str.maketrans(*fold_pairs())
 ORDER = 4
@@ -302,4 +302,4 @@ def languages(items: DataFrame, id_col: str, text_col: str, hint_col: str, tree:
                     ["id", "hinted", "stretch", "first_word", "n_words", "lang", "confidence", "n_langs"],
                 )
 
-    return src.mapInArrow(score, schema)
+    return spread(src).mapInArrow(score, schema)

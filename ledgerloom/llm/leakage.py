@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, spread
 from .words import folded_words
 
 BETWEEN, OTHER = 0, 1
@@ -230,4 +230,4 @@ def _find_block(documents: DataFrame, held: DataFrame, id_col: str, text_col: st
             c = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c[0], id_type), pa.array(c[1], item_type), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.string())], ["doc_id", "item_id", "first_word", "n_words", "span"])
 
-    return src.mapInArrow(find, schema)
+    return spread(src).mapInArrow(find, schema)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..session import cut, ship
+from ..session import cut, ship, spread
 
 #: as total_tokens: as many tokens as the target sources have
 AVAILABLE = "available"
@@ -50,7 +50,7 @@ def count_tokens(documents: DataFrame, id_col: str, source_col: str, text_col: s
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), pa.array(n, pa.int64())], ["id", "source", "n_tokens"])
 
-    return src.mapInArrow(count, f"id {kind}, source string, n_tokens bigint")
+    return spread(src).mapInArrow(count, f"id {kind}, source string, n_tokens bigint")
 
 
 def plan_repeats(available: dict[str, int], targets: list[tuple[str, float, int | None]], total: float | None = None) -> dict[str, float]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, ship
+from ..session import cut, ship, spread
 
 #: bits of a token; more than enough to tell the tokens of two records apart
 TOKEN_BITS = 40
@@ -350,7 +350,7 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str, threshold: f
         if len(full):
             yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa_id), pa.array(full), pa.nulls(len(full), pa.int64()), pa.array(sketch[full])], names)
 
-    surveyed = cut(src.mapInArrow(survey, f"id {id_type}, class_a bigint, class_b bigint, n_tokens bigint"), "shingles")
+    surveyed = cut(spread(src).mapInArrow(survey, f"id {id_type}, class_a bigint, class_b bigint, n_tokens bigint"), "shingles")
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     counted = surveyed.where("id is null").groupBy("class_a").agg(F.sum("n_tokens").alias("n")).toArrow()  # at most 2^SKETCH_BITS rows
     sketch[np.asarray(counted.column("class_a"))] = np.asarray(counted.column("n"))
@@ -361,7 +361,7 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str, threshold: f
     volume = (1 - threshold) * (tokens_n or 0) * CELL.itemsize + (records_n or 0) * (HEAD.itemsize + PARITY // 8) * 16
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(volume / (part_mb * 1_000_000)))
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in blocks(batch.column("text").to_pylist()):
                 s = token_sets(texts, size, least_words)
@@ -380,7 +380,7 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str, threshold: f
             for a, b, c in open_groups(*got, threshold):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], ["a", "b", "c"])
 
-    matrix = src.mapInArrow(spread, "part int, heads binary, bitmaps binary, cells binary").repartitionById(parts, F.col("part"))
+    matrix = spread(src).mapInArrow(plant, "part int, heads binary, bitmaps binary, cells binary").repartitionById(parts, F.col("part"))
     overlaps = matrix.mapInArrow(compare, "a bigint, b bigint, c bigint").groupBy("a", "b").agg(F.sum("c").alias("c"))
     # a set of few tokens need share no more than it must; such sets are told by their class table below
     pairs = cut(overlaps, "opened")
@@ -406,7 +406,7 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str, threshold: f
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, s.ends), pa.int32()), pa.array(s.tokens.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows[at + s.rows])), lists], ["id", "tokens"])
 
-    tokens = src.withColumn("slot", slot).mapInArrow(fetch, f"id {id_type}, tokens array<bigint>")
+    tokens = spread(src).withColumn("slot", slot).mapInArrow(fetch, f"id {id_type}, tokens array<bigint>")
     sets = cut(tokens.join(named, "id").dropDuplicates(["id"]).select("class_a", "class_b", "tokens"), "tokens")
     side = lambda p: sets.select(*[F.col(c).alias(f"{p}_{c}") for c in sets.columns])
     met = pairs.join(side("a"), F.col("a") == F.col("a_class_a")).join(side("b"), F.col("b") == F.col("b_class_a"))

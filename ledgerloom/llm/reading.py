@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, ship
+from ..session import cut, ship, spread
 
 #: words of the vocabulary that every task holds; documents that need more go through a join
 HEAD = 1 << 16
@@ -106,7 +106,7 @@ def vocabulary(documents: DataFrame, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([seen.field(0), seen.field(1)], ["word", "n"])
 
     src = documents.select(F.col(text_col).alias("text")).where("text is not null")
-    words = cut(src.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
+    words = cut(spread(src).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
     # as many rows as there are different frequencies: at most the root of twice the tokens
     per = words.groupBy("n").agg(F.count("*").alias("w"))
     ranks = per.selectExpr("n", "sum(w) over (order by n desc rows unbounded preceding) rank")
@@ -153,7 +153,7 @@ def measure(documents: DataFrame, vocab: DataFrame, id_col: str, text_col: str,
                 f = sentence_features(texts)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, len(texts)), f["n_words"], f["n_sentences"], f["n_long"], ranked, rest], names)
 
-    first = cut(src.mapInArrow(look, f"id {kind}, n_words bigint, n_sentences bigint, n_long bigint, coverage_rank bigint, rest array<string>"), "coverage")
+    first = cut(spread(src).mapInArrow(look, f"id {kind}, n_words bigint, n_sentences bigint, n_long bigint, coverage_rank bigint, rest array<string>"), "coverage")
     far = first.where("size(rest) > 0").select("id", F.explode("rest").alias("word")).groupBy("id", "word").agg(F.count("*").alias("c"))
     ranked = far.join(vocab.select("word", "rank"), "word").groupBy("id", "rank").agg(F.sum("c").alias("c"))
     covered = ranked.selectExpr("id", "rank", "sum(c) over (partition by id order by rank) so_far", "sum(c) over (partition by id) total")

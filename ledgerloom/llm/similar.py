@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import key
-from ..session import cut, ship
+from ..session import cut, ship, spread
 
 #: document of an entry whose rows are of several documents
 SEVERAL = -1
@@ -293,7 +293,7 @@ def similar_vectors(vectors: DataFrame, id_col: str = "id", doc_col: str = "doc_
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), leaves * 2)
-    planted = src.mapInArrow(plant, "part int, entries binary").repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int"))
+    planted = spread(src).mapInArrow(plant, "part int, entries binary").repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int"))
     near = cut(planted.mapInArrow(climb, "a bigint, b bigint").distinct(), "near")
 
     # exact cosines of what the trees brought up
