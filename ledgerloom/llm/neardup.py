@@ -416,13 +416,59 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str, threshold: f
     return classes, links.select("a_class_a", "a_class_b", "b_class_a", "b_class_b", (F.col("shared") / (F.col("both") - F.col("shared"))).alias("similarity"))
 
 
+def named_classes(classes: DataFrame) -> DataFrame:
+    """class_a, class_b, class_id, n_copies: every class under the smallest id of its records."""
+    return classes.groupBy("class_a", "class_b").agg(F.min("id").alias("class_id"), F.count("*").alias("n_copies"))
+
+
 def link_counts(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """id, class_a, class_b, n_copies, n_links: one row per record with its class, the size of it and the number of similar classes."""
+    """id, class_id, n_copies, n_links: one row per record with its class, the size of it and the number of similar classes."""
     ends = links.select(F.col("a_class_a").alias("class_a"), F.col("a_class_b").alias("class_b")).unionByName(links.select(F.col("b_class_a").alias("class_a"), F.col("b_class_b").alias("class_b")))
     per = ends.groupBy("class_a", "class_b").agg(F.count("*").alias("n_links"))
-    size = classes.groupBy("class_a", "class_b").agg(F.count("*").alias("n_copies"))
-    joined = classes.join(size, ["class_a", "class_b"]).join(per, ["class_a", "class_b"], "left")
-    return joined.select("id", "class_a", "class_b", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = named_classes(classes).join(per, ["class_a", "class_b"], "left")
+    return classes.join(named, ["class_a", "class_b"]).select("id", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, root: every node of the edges with the smallest node that it hangs together with.
+
+    Stars are moved onto smaller roots by turns, of larger and of smaller
+    neighbours, until nothing changes: a number of rounds that grows with the
+    logarithm of the longest path. Each round is written; only a count and a
+    checksum come to the driver.
+    """
+    pair = lambda x, y: edges.select(F.col(x).alias("u"), F.col(y).alias("v"))
+    now = cut(pair(a, b).unionByName(pair(b, a)).where("u > v").distinct(), "edges")
+    mark = None
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        larger = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        larger = larger.where("u > v").distinct()
+        least = larger.groupBy("u").agg(F.min("v").alias("m"))
+        smaller = larger.join(least, "u")
+        moved = smaller.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        now = cut(moved.where("u > v").distinct(), "edges")
+        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if mark == state:
+            roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
+        mark = state
+
+
+def record_groups(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """id, class_id, group_id, n_group: membership of every record in a group of records that hang together by similarity.
+
+    group_id is the smallest id in the group, which stands for it; n_group
+    counts its records. A record like no other is a group of its own.
+    """
+    named = cut(named_classes(classes), "classes")
+    side = lambda p: named.select(F.col("class_a").alias(f"{p}_class_a"), F.col("class_b").alias(f"{p}_class_b"), F.col("class_id").alias(p))
+    edges = links.join(side("a"), ["a_class_a", "a_class_b"]).join(side("b"), ["b_class_a", "b_class_b"]).select("a", "b")
+    roots = components(edges).withColumnRenamed("node", "class_id")
+    grouped = named.join(roots, "class_id", "left").withColumn("group_id", F.coalesce("root", "class_id"))
+    size = grouped.groupBy("group_id").agg(F.sum("n_copies").alias("n_group"))
+    return classes.join(grouped.join(size, "group_id").select("class_a", "class_b", "class_id", "group_id", "n_group"), ["class_a", "class_b"]).select("id", "class_id", "group_id", "n_group")
 
 
 def record_pairs(classes: DataFrame, links: DataFrame) -> DataFrame:

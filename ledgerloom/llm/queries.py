@@ -10,7 +10,7 @@ from .language import LEAST_CONFIDENCE, UNKNOWN, languages
 from .leakage import find_leaks
 from .mixing import AVAILABLE, mix_sources
 from .nearest import nearest_vectors
-from .neardup import link_counts, near_duplicates, record_pairs
+from .neardup import link_counts, near_duplicates, record_groups, record_pairs
 from .reading import calibration, measured, reading_profile
 from .similar import similar_vectors
 from .splitting import split_items
@@ -61,8 +61,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record with its class of equal texts, its copies and its number of similar classes."""
-    a, b = (link_counts(*got).select(F.lit(name).alias("rec_table"), "id", "class_a", "class_b", "n_copies", "n_links") for name, got in _near(spark, sf_dir))
+    """Every record with its class of equal texts (under the smallest id), its copies and its number of similar classes."""
+    a, b = (link_counts(*got).withColumn("rec_table", F.lit(name)) for name, got in _near(spark, sf_dir))
+    return a.unionByName(b)
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with the group of records that are the same but for small changes."""
+    a, b = (record_groups(*got).withColumn("rec_table", F.lit(name)) for name, got in _near(spark, sf_dir))
     return a.unionByName(b)
 
 
@@ -111,7 +117,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_neighbours": p1_neighbours,
     "p3_found": p3_found, "p3_languages": p3_languages, "p4_found": p4_found, "p4_pieces": p4_pieces,
-    "p5_found": p5_found, "p5_links": p5_links, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_profile": p9_profile, "p9_coverage": p9_coverage, "p9_calibration": p9_calibration,
+    "p5_found": p5_found, "p5_links": p5_links, "p5_groups": p5_groups, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_profile": p9_profile, "p9_coverage": p9_coverage, "p9_calibration": p9_calibration,
 }
 
 _EDGE = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160)"
@@ -130,6 +136,15 @@ def _shingle_sql(name: str, key: str, rows: str) -> str:
  {name}_s as (select distinct id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] s from (select id, w, unnest(range(1, len(w) - 1)) i from {name}_w where len(w) >= 20)), {name}_n as (select id, count(*) n from {name}_s group by 1)"""
 
 
+def _class_sql(name: str, key: str, rows: str) -> str:
+    """Classes of equal sets, links between their representatives, and what hangs together."""
+    return f"""{name}_h as (select id, md5(string_agg(s, '|' order by s)) h from {name}_s group by 1), {name}_k as (select id, min(id) over (partition by h) class_id, count(*) over (partition by h) n_copies from {name}_h),
+ {name}_p as ({_near_sql(name, key, rows)}), {name}_l as (select id_a u, id_b v from {name}_p where id_a in (select class_id from {name}_k) and id_b in (select class_id from {name}_k)
+  and (select any_value(h) from {name}_h where id = id_a) <> (select any_value(h) from {name}_h where id = id_b)),
+ {name}_e as (select u, v from {name}_l union all select v, u from {name}_l), {name}_r as (select class_id node, class_id root from {name}_k union select e.v, r.root from {name}_r r join {name}_e e on e.u = r.node where r.root < e.v),
+ {name}_g as (select node, min(root) group_id from {name}_r group by 1)"""
+
+
 _NEAR = (("chunks", "id", "(select * from chunks where kind = 'text')"), ("documents", "doc_id", "documents"))
 
 ORACLE = {
@@ -139,12 +154,23 @@ p as (select a.id, b.id o, list_cosine_similarity(a.e, b.e) c from v a join v b
 r as (select *, row_number() over (partition by id order by c desc, o) n from p)
 select distinct least(id, o) chunk_id_a, greatest(id, o) chunk_id_b from r where n <= 10""",
     "p5_found": "with " + ", ".join(_shingle_sql(*x) for x in _NEAR) + " " + " union all ".join(_near_sql(*x) for x in _NEAR),
+    "p5_links": "with recursive " + ", ".join(_shingle_sql(*x) + ", " + _class_sql(*x) for x in _NEAR) + " " + " union all ".join(f"select '{n}' rec_table, k.id, class_id, n_copies, (select count(*) from {n}_e e where e.u = k.class_id) n_links from {n}_k k" for n, _, _ in _NEAR),
+    "p5_groups": "with recursive " + ", ".join(_shingle_sql(*x) + ", " + _class_sql(*x) for x in _NEAR) + " " + " union all ".join(f"select '{n}' rec_table, k.id, class_id, group_id, count(*) over (partition by group_id) n_group from {n}_k k join {n}_g g on g.node = k.class_id" for n, _, _ in _NEAR),
     "p7_found": """
 with i as (select item_id, regexp_extract_all(replace(strip_accents(lower(passage)), 'ß', 'ss'), '[\\p{L}\\p{N}]+') w from eval_items),
 d as (select doc_id, regexp_extract_all(replace(strip_accents(lower("text")), 'ß', 'ss'), '[\\p{L}\\p{N}]+') w from documents),
 ir as (select distinct item_id, list_aggregate(w[k:k + 11], 'string_agg', ' ') s from (select item_id, w, unnest(range(1, len(w) - 10)) k from i)),
 dr as (select doc_id, list_aggregate(w[k:k + 11], 'string_agg', ' ') s from (select doc_id, w, unnest(range(1, len(w) - 10)) k from d))
 select distinct doc_id, item_id from dr join ir on dr.s = ir.s""",
+    "p7_spans": """
+with i as (select item_id, regexp_extract_all(replace(strip_accents(lower(passage)), 'ß', 'ss'), '[\\p{L}\\p{N}]+') w from eval_items),
+d as (select doc_id, regexp_extract_all(replace(strip_accents(lower("text")), 'ß', 'ss'), '[\\p{L}\\p{N}]+') w from documents),
+ir as (select distinct item_id, list_aggregate(w[k:k + 11], 'string_agg', ' ') s from (select item_id, w, unnest(range(1, len(w) - 10)) k from i)),
+dr as (select doc_id, k, list_aggregate(w[k:k + 11], 'string_agg', ' ') s from (select doc_id, w, unnest(range(1, len(w) - 10)) k from d)),
+m as (select distinct doc_id, item_id, k from dr join ir on dr.s = ir.s),
+g as (select *, sum(fresh) over (partition by doc_id, item_id order by k) n from (select *, case when k - lag(k) over (partition by doc_id, item_id order by k) <= 12 then 0 else 1 end fresh from m)),
+sp as (select doc_id, item_id, min(k) a, max(k) + 11 b from g group by doc_id, item_id, n)
+select sp.doc_id, item_id, cast(a - 1 as int) first_word, cast(b - a + 1 as int) n_words, list_aggregate(w[a:b], 'string_agg', ' ') span from sp join d on d.doc_id = sp.doc_id""",
     "p4_found": f"""
 with long as (select id, any_value(trim("text", {_EDGE})) t from chunks where (kind is null or kind <> 'notice') and length(trim("text", {_EDGE})) > 1200 group by id),
 parts as (select id, t, list_max([length(trim(x, {_EDGE})) for x in string_split_regex(regexp_replace(regexp_replace(t, '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), ' [|] ', chr(10), 'g'), '[\\n\\r\\f]')]) stretch,

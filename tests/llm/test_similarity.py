@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.neardup import link_counts, near_duplicates, record_pairs, token_sets
+from ledgerloom.llm.neardup import components, link_counts, near_duplicates, record_groups, record_pairs, token_sets
 from ledgerloom.llm.nearest import nearest_vectors
 from ledgerloom.llm.similar import similar_vectors
 from ledgerloom.llm.words import words
@@ -36,7 +36,31 @@ def test_near_duplicates_against_brute_force(spark, k, threshold):
     assert got == want
     counts = {c.id: c for c in link_counts(classes, links).collect()}
     assert set(counts) == set(sets) and counts[1].n_copies >= 2
-    assert near_duplicates(df.where("false"), "id", "text")[1].count() == 0
+    root = {i: i for i in sets}
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    for i, j in want:
+        root[max(top(i), top(j))] = min(top(i), top(j))
+    groups = {g.id: (g.group_id, g.n_group) for g in record_groups(classes, links).collect()}
+    assert groups == {i: (top(i), sum(top(j) == top(i) for j in sets)) for i in sets}
+    none = near_duplicates(df.where("false"), "id", "text")
+    assert none[1].count() == 0 and record_groups(*none).count() == 0
+
+
+def test_components(spark):
+    r = random.Random(2)
+    chain = [(i, i + 1) for i in range(100, 160)]
+    star = [(500 + i, 500) for i in range(1, 90)]
+    edges = chain + star + [(r.randrange(30), r.randrange(30)) for _ in range(18)] + [(7, 7), (101, 100)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(200):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == root
 
 
 def test_token_sets_are_those_of_words():
