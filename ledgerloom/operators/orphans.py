@@ -2,9 +2,9 @@
 
 References of any number of child tables and keys of their parents are brought
 together in one co-partitioned, sorted merge join. Both sides are reduced
-before they move: a parent to its validity (first seen, all rows deleted), a
-child to the earliest reference per key and period, so a hot key costs one row
-per map task.
+before they move: a parent to the interval of its validity (from its first row
+to the last deletion if every row is deleted, else open), a child to the span
+of references per key and period, so a hot key costs one row per map task.
 """
 
 from __future__ import annotations
@@ -39,10 +39,10 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def orphan_references(references: list[Reference]) -> DataFrame:
-    """child_table, ref_key, period, state, n_refs: orphan keys per table and month.
+    """child_table, ref_key, period, state, n_refs, first_ref, last_ref, valid_from, valid_until: orphan keys per table and month.
 
-    state is 'missing' (no parent row), 'deleted' (every parent row deleted) or
-    'late' (the earliest parent row is after the child row). Null and empty
+    state is 'missing' (no parent row), 'deleted' (every parent row deleted, so
+    the validity has ended) or 'late' (the validity begins after the child row). Null and empty
     references are no cases; rows without a time have a null period and cannot
     be late; a parent without any time is never late. Repeated rows give the
     same result as one, but n_refs counts rows. Empty tables give no rows.
@@ -58,13 +58,13 @@ def orphan_references(references: list[Reference]) -> DataFrame:
     )
     parents = _union(
         [
-            r.parent.select(F.lit(r.name).alias("child_table"), key(F.col(r.key)).alias("ref_key"), F.col(r.since).cast("timestamp_ntz").alias("since"), (F.col(r.deleted).isNotNull() if r.deleted else F.lit(False)).alias("gone"))
+            r.parent.select(F.lit(r.name).alias("child_table"), key(F.col(r.key)).alias("ref_key"), F.col(r.since).cast("timestamp_ntz").alias("since"), (F.col(r.deleted).cast("timestamp_ntz") if r.deleted else F.lit(None).cast("timestamp_ntz")).alias("until"))
             .where("ref_key is not null")
             .groupBy("child_table", "ref_key")
-            .agg(F.min("since").alias("since"), F.bool_and("gone").alias("gone"))
+            .agg(F.lit(True).alias("known"), F.min("since").alias("valid_from"), F.when(F.count("until") == F.count("*"), F.max("until")).alias("valid_until"))
             for r in references
         ]
     )
     joined = children.join(parents.hint("merge"), ["child_table", "ref_key"], "left")
-    state = F.when(F.col("gone").isNull(), "missing").when(F.col("gone"), "deleted").when(F.col("since") > F.col("first_ref"), "late")
-    return joined.withColumn("state", state).where("state is not null").select("child_table", "ref_key", "period", "state", "n_refs")
+    state = F.when(F.col("known").isNull(), "missing").when(F.col("valid_until").isNotNull(), "deleted").when(F.col("valid_from") > F.col("first_ref"), "late")
+    return joined.withColumn("state", state).where("state is not null").select("child_table", "ref_key", "period", "state", "n_refs", "first_ref", "last_ref", "valid_from", "valid_until")

@@ -6,13 +6,19 @@ of the k hits is joined last.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.archive import has_literal_anchor, query_terms
 from ..functions.text import fold_accents
-from ..session import cut, spread
+from ..session import cut, ship, spread
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF_K, SOFT_WEIGHT = 60, 0.25
@@ -37,6 +43,59 @@ def dense_topk(chunks: DataFrame, query: list[float], k: int = 50, where: Column
     return _ranked(scored, k)
 
 
+def dense_topk_many(chunks: DataFrame, queries: DataFrame, k: int = 50, block: int = 4096, id_col: str = "id", vector_col: str = "embedding", query_col: str = "query_id") -> DataFrame:
+    """query, id, score, rank: the k passages of the greatest cosine for each query, ties by id.
+
+    queries hold query_col and vector_col; a passage whose id is the query's is
+    left out. A block of queries (about ``block`` by the hash of the id, held by
+    every task) is one matrix product per batch of passages, of which only k per
+    query leave the task. Vectors that are null, of no length, of another
+    length than the query's or not finite never meet. Scores count to twelve
+    digits.
+    """
+    spark = chunks.sparkSession
+    ship(spark)
+    q = queries.select(F.col(query_col).alias("query"), F.col(vector_col).cast("array<double>").alias("v")).where("query is not null and v is not null").dropDuplicates(["query"])
+    src = chunks.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    id_type, query_type = src.schema["id"].dataType.simpleString(), q.schema["query"].dataType.simpleString()
+    blocks = max(1, math.ceil(q.count() / block))
+
+    def units(ids: pa.Array, column: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """Ids and unit vectors by length."""
+        size = np.asarray(pc.list_value_length(column))
+        for dim in np.unique(size[size > 0]).tolist():
+            rows = pa.array(np.flatnonzero(size == dim))
+            x = np.asarray(pc.fill_null(column.take(rows).flatten(), float("nan"))).reshape(-1, dim)
+            norm = np.linalg.norm(x, axis=1)
+            ok = np.isfinite(norm) & (norm > 0)
+            yield ids.take(rows).filter(pa.array(ok)), x[ok] / norm[ok, None]
+
+    def pass_over(n: int) -> DataFrame:
+        got = q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n).toArrow().combine_chunks()
+        parts = [] if not got.num_rows else list(units(got.column("query").chunk(0), got.column("v").chunk(0)))
+        held = spark.sparkContext.broadcast({x.shape[1]: (ids, x) for ids, x in parts})
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for ids, x in units(batch.column("id"), batch.column("v")):
+                    asked, y = held.value.get(x.shape[1], (None, None))
+                    if asked is None or not len(asked) or not len(ids):
+                        continue
+                    s = np.round(y @ x.T, 12)
+                    keep = min(len(ids), k + 1)  # one may be the query itself
+                    bar = np.partition(s, len(ids) - keep, axis=1)[:, len(ids) - keep]
+                    i, j = np.nonzero(s >= bar[:, None])
+                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(i)), ids.take(pa.array(j)), pa.array(s[i, j])], ["query", "id", "score"])
+
+        return src.mapInArrow(score, f"query {query_type}, id {id_type}, score double")
+
+    found = pass_over(0)
+    for n in range(1, blocks):
+        found = found.unionByName(pass_over(n))
+    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return found.where(F.col("id") != F.col("query")).withColumn("rank", nth).where(F.col("rank") <= k)
+
+
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
     """The k best with their rank; the sort is a top-k, the window sees k rows."""
     top = scored.orderBy(F.desc("score"), "id").limit(k)

@@ -12,8 +12,8 @@ from ..functions.text import key, norm_col
 from ..operators import records as R
 from ..operators.aggregate import FactStore, FrameStore, Request
 from ..operators.extract import column_role, running_balances
-from ..operators.metrics import retrieval_metrics
-from ..operators.retrieval import bm25_topk, cosine, dense_topk, fuse
+from ..operators.metrics import first_ranks, retrieval_metrics
+from ..operators.retrieval import bm25_topk, dense_topk, dense_topk_many, fuse
 from ..session import table
 from ..streaming.sessions import illegal_changes, last_status, sessions
 
@@ -375,13 +375,12 @@ def rrf_ranking(t, spark, sf_dir):
     "select coalesce(cast(kind as varchar), 'all') kind, count(*) n, round(avg(case when rk = 1 then 1.0 else 0.0 end), 6) hit_at_1, round(avg(case when rk <= 6 then 1.0 else 0.0 end), 6) recall_at_k, round(avg(case when rk <= 6 then 1.0 / rk else 0.0 end), 6) mrr from m group by grouping sets ((kind), ())"
 )
 def retrieval_quality(t, spark, sf_dir):
-    """Queries are the rows whose id is divisible by 100, against all rows; partial rankings before the shuffle."""
+    """Queries are the rows whose id is divisible by 100, against all rows, in blocks of queries."""
     e = t("embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
-    scored = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "ql", "label", "vec_id", cosine(F.col("embedding"), F.col("qv")).alias("score"))
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    ranked = scored.withColumn("rank", nth).where("rank <= 50")
-    ranks = ranked.groupBy("query_id", F.col("ql").cast("string").alias("kind")).agg(F.min(F.when(F.col("ql") == F.col("label"), F.col("rank"))).alias("rank"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").cast("string").alias("kind"))
+    hits = dense_topk_many(e, q, 50, id_col="vec_id").withColumnRenamed("query", "query_id")
+    named = hits.join(e.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("source")), "id")
+    ranks = first_ranks(named, q.select("query_id", "kind", F.col("kind").alias("expect_source")))
     return retrieval_metrics(ranks)
 
 

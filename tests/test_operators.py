@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import records as R
 from ledgerloom.operators.metrics import first_ranks, retrieval_metrics
-from ledgerloom.operators.retrieval import bm25_stored, bm25_topk, dense_topk, folded_tokens, fuse, postings, search, search_or_unfiltered
+from ledgerloom.operators.retrieval import bm25_stored, bm25_topk, dense_topk, dense_topk_many, folded_tokens, fuse, postings, search, search_or_unfiltered
 from ledgerloom.streaming.sessions import SessionRegistry, accepted_uploads, illegal_changes, last_status, sessions
 
 CHUNKS = [
@@ -25,6 +25,24 @@ def test_dense(chunks):
     assert [r.id for r in dense_topk(chunks, [1.0, 0.0], 10, F.col("year") == "2024").collect()] == [1, 3]
 
 
+def test_dense_of_many_queries(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.standard_normal((90, 6)), np.repeat(rng.standard_normal((1, 6)), 20, axis=0)])
+    rows = [(i, [float(x) for x in e]) for i, e in enumerate(v)]
+    df = spark.createDataFrame(rows + [(200, None), (201, []), (202, [0.0] * 6), (203, [1.0] * 5), (204, [float("nan")] * 6)], "id long, embedding array<double>")
+    q = df.where("id % 10 = 0").withColumnRenamed("id", "query_id")
+    got = {(r["query"], r.id): r["rank"] for r in dense_topk_many(df, q, 4, block=5).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {}
+    for i in range(0, len(v), 10):
+        s = np.round(u @ u[i], 12)
+        want |= {(i, int(j)): n for n, j in enumerate([j for j in np.lexsort((np.arange(len(v)), -s)) if j != i][:4], 1)}
+    assert got == want
+    assert dense_topk_many(df, q.where("false"), 4).count() == 0 and dense_topk_many(df.where("false"), q, 4).count() == 0
+
+
 def test_lexical(chunks):
     assert [r.id for r in bm25_topk(chunks, "Elbe?").collect()] == [2, 1]
     assert {r.id for r in bm25_topk(chunks, "Umsatzerlöse").collect()} == {1, 2}
