@@ -100,7 +100,7 @@ def where_contains(t, spark, sf_dir):
 
 _CELLS = """vals as (select fact_id, regexp_replace(replace(strip_accents(lower(col)), 'ß', 'ss'), '[^0-9a-z]', '', 'g') c, max(num) num, max("text") txt, max("date") d from fact_values where fact_id is not null group by 1, 2),
 cat as (select * from (select table_uid, source, doc_id, n_rows, n_total_rows, from_json(column_json, '[{"name":"VARCHAR","raw":"VARCHAR","role":"VARCHAR","kind":"VARCHAR"}]') cols, row_number() over (partition by table_uid order by loaded_at desc) rn from fact_tables where table_uid is not null) where rn = 1),
-f as (select id, any_value(lower(trim(table_uid))) table_uid, any_value(row_kind) row_kind from facts where id is not null and trim(table_uid) <> '' group by id)"""
+f as (select id, any_value(lower(trim(table_uid))) table_uid, any_value(row_kind) row_kind, any_value(row_no) row_no from facts where id is not null and trim(table_uid) <> '' group by id)"""
 
 
 def archive_store(t) -> FactStore:
@@ -144,16 +144,16 @@ def scope_contains(t, spark, sf_dir):
 
 @query(
     f"with {_CELLS}, m as (select table_uid, list_filter(cols, lambda x: x.role = 'date')[1].name d from cat where len(list_filter(cols, lambda x: x.name = 'saldoeur')) > 0), "
-    "r as (select m.table_uid, v.num, w.d \"day\" from m join f on f.table_uid = m.table_uid and f.row_kind = 'data' join vals v on v.fact_id = f.id and v.c = 'saldoeur' left join vals w on w.fact_id = f.id and w.c = m.d where v.num is not null) "
-    "select table_uid, max(\"day\") \"day\", count(*) n from r group by 1"
+    "r as (select m.table_uid, f.row_no, v.num, w.d \"day\" from m join f on f.table_uid = m.table_uid and f.row_kind = 'data' join vals v on v.fact_id = f.id and v.c = 'saldoeur' left join vals w on w.fact_id = f.id and w.c = m.d where v.num is not null) "
+    "select table_uid, arg_max(num, (coalesce(\"day\", ''), row_no)) result, max(\"day\") \"day\", count(*) n from r group by 1"
 )
 def archive_closing_days(t, spark, sf_dir):
-    """Last day and number of the values that a closing balance is read from, per table."""
+    """Closing balance per table, the day it is of, and how many values the column has."""
     s = archive_store(t)
     r = Request("closing", column="Saldo (EUR)")
     tables = s.resolve(r)
     n = s.rows(r, tables).where("num is not null").groupBy("table_uid").agg(F.count("*").alias("n"))
-    return s.closing(r, tables).join(n, "table_uid").select("table_uid", "day", "n")
+    return s.closing(r, tables).join(n, "table_uid").select("table_uid", F.col("value").alias("result"), "day", "n")
 
 
 @query(
@@ -201,18 +201,6 @@ def running_balance_detect(t, spark, sf_dir):
     return running_balances(cells, columns).where("name = 'stand'")
 
 
-@query("select s_suppkey id, unnest(['s_name', 's_acctbal']) col, unnest([s_name, cast(s_acctbal as varchar)]) val from supplier")
-def unpivot_cells(t, spark, sf_dir):
-    return t("supplier").select("s_suppkey", "s_name", F.col("s_acctbal").cast("string").alias("s_acctbal")).unpivot("s_suppkey", ["s_name", "s_acctbal"], "col", "val").where("val is not null").withColumnRenamed("s_suppkey", "id")
-
-
-@query("select user_id, sum(case when event_type = 'view' then value end) v_view, sum(case when event_type = 'purchase' then value end) v_purchase from (select user_id, event_type, cast(round(sum(cast(value as decimal(38,6))), 4) as double) value from events group by 1, 2) group by 1")
-def pivot_cells(t, spark, sf_dir):
-    e = t("events").withColumn("value", F.col("value").cast("decimal(38,6)"))
-    money = lambda k: F.round(F.sum(F.when(F.col("event_type") == k, F.col("value"))), 4).cast("double").alias(f"v_{k}")
-    return e.groupBy("user_id").agg(money("view"), money("purchase"))
-
-
 # ── scalars over whole tables ────────────────────────────────────────────────
 
 _NUM = """case when not regexp_matches(b, '^[+-]?[0-9.,]+$') then null
@@ -257,6 +245,24 @@ def doc_type_and_year(t, spark, sf_dir):
     return t("archive_docs").select("source").distinct().select("source", A.infer_doc_type(F.col("source"), none).alias("kind"), A.infer_year(F.col("source"), none).alias("yr"))
 
 
+@query(
+    "select doc_id, case when regexp_matches(lower(n), 'readme|index|inhalt|uebersicht|übersicht') then 'other' " + " ".join(f"when regexp_matches(lower(left(coalesce(x, ''), 400)), '{'|'.join(k)}') then '{d}'" for d, k in A.DOC_TYPES) + " else 'other' end kind, coalesce(nullif(regexp_extract(left(coalesce(x, ''), 600), '\\b((?:19|20)[0-9]{2})\\b', 1), ''), '') yr "
+    "from (select doc_id, case when doc_id % 9 = 0 then 'index.md' else 'datei.md' end n, \"text\" x from documents)"
+)
+def doc_type_from_text(t, spark, sf_dir):
+    """Type and year from the text where the name tells neither; files that only list others are 'other'."""
+    name = F.when(F.col("doc_id") % 9 == 0, "index.md").otherwise("datei.md")
+    return t("documents").select("doc_id", A.infer_doc_type(name, F.coalesce("text", F.lit(""))).alias("kind"), A.infer_year(name, F.coalesce("text", F.lit(""))).alias("yr"))
+
+
+@query("select o_custkey, string_agg(o_comment, chr(10) order by o_orderkey) body from (select o_custkey, o_orderkey, case when o_orderkey % 4 > 1 then o_orderpriority end o_comment from orders) where o_comment is not null group by 1")
+def text_parts(t, spark, sf_dir):
+    """Texts put together from lists of parts, of which some are null or empty."""
+    part = F.when(F.col("o_orderkey") % 4 > 1, F.col("o_orderpriority")).when(F.col("o_orderkey") % 4 == 0, "")
+    per = t("orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", part.alias("p")))).alias("p"))
+    return per.select("o_custkey", A.join_parts(F.transform("p", lambda x: x["p"])).alias("body")).where("body <> ''")
+
+
 @query("select item_id, regexp_matches(question, '\\d{1,3}(?:[.,]\\d{3})+|\\d{5,}|\\b[A-Z]{2,}[-_/]?\\d+\\b|\\b\\d{4}[-_/]\\w+[-_/]\\w+\\b|\\b\\w*\\d+[-_/]\\d{3,}\\b') anchored from eval_items")
 def literal_anchors(t, spark, sf_dir):
     return t("eval_items").select("item_id", A.has_literal_anchor(F.col("question")).alias("anchored"))
@@ -303,9 +309,9 @@ def index_stats(t, spark, sf_dir):
     return s.select("n_documents", "n_chunks", "n_embedded", "beyond_envelope", F.expr("size(filter(doc_types, x -> x.doc_type is not null))").cast("long").alias("n_types"), F.size("years").cast("long").alias("n_years"))
 
 
-@query("select doc_id, case when bool_or(kind = 'notice') then 'partial' else 'ok' end status from chunks group by 1")
+@query("select doc_id, case when bool_or(kind = 'notice' and id % 3 = 0) then 'error' when bool_or(kind = 'notice') then 'partial' else 'ok' end status from chunks group by 1")
 def parse_status(t, spark, sf_dir):
-    return R.parse_status(t("chunks").select("doc_id", "kind", F.lit(None).cast("string").alias("reason")))
+    return R.parse_status(t("chunks").select("doc_id", "kind", F.when(F.col("id") % 3 == 0, "parse_error").alias("reason")))
 
 
 @query("select id, source, locator from (select id, source, locator, row_number() over (partition by source, locator, left(\"text\", 80) order by id) n from (select distinct id, source, locator, \"text\" from chunks)) where n = 1")
@@ -328,13 +334,6 @@ def subset_envelope(t, spark, sf_dir):
     return R.padded_subset(docs, t("chunks"), docs.where("doc_type = 'budget'"), 600, "7")
 
 
-@query("select l_orderkey, list_sort(list_filter(list_distinct(list(l_suppkey)), lambda x: x % 2 = 0)) kept, list_sort(list_filter(list_distinct(list(l_suppkey)), lambda x: x % 2 = 1)) rest from lineitem group by 1")
-def set_operations(t, spark, sf_dir):
-    s = t("lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("s"))
-    even = F.filter("s", lambda x: x % 2 == 0)
-    return s.select("l_orderkey", F.array_sort(F.array_intersect("s", even)).alias("kept"), F.array_sort(F.array_except("s", even)).alias("rest"))
-
-
 # ── ranking ──────────────────────────────────────────────────────────────────
 
 _LEN = "list_cosine_similarity(e.embedding::double[], q.embedding::double[])"
