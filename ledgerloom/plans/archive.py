@@ -14,6 +14,7 @@ from ..operators.extract import extract
 from ..operators.retrieval import bm25_stored, folded_tokens, postings, search_or_unfiltered
 from ..session import cut
 from ..sources.files import describe, elements_of, payloads_of
+from ..streaming.sessions import accepted_uploads
 from .engine import archive_store, orders_store, query
 
 
@@ -328,3 +329,80 @@ def audit_trail(t, spark, sf_dir):
     """The log of one job, each entry once, in the order of the ids."""
     first = t("threads").agg(F.min("thread_id").alias("m")).first().m
     return R.audit_trail(t("audit_log"), first).select("id", "action", "created_at")
+
+
+# ── the index, sessions and what is handed on ────────────────────────────────
+
+_PER_NATION = "with s as (select s_nationkey k, count(*) n from supplier group by 1), files as (select k, n from s)"
+
+
+@query(
+    _PER_NATION + ", keep as (select * from files where k % 5 <> 0) select 'first' as \"round\", (select count(*) from files) n_new, 0 n_unchanged, 0 n_pruned, (select count(*) from files) n_documents, (select sum(n) from files)::bigint n_facts "
+    "union all select 'again', 0, (select count(*) from files), 0, (select count(*) from files), (select sum(n) from files)::bigint union all select 'fewer', 0, (select count(*) from keep), (select count(*) from files where k % 5 = 0), (select count(*) from keep), (select sum(n) from keep)::bigint "
+    "union all select 'model', (select count(*) from keep), 0, 0, (select count(*) from keep), (select sum(n) from keep)::bigint"
+)
+def index_rounds(t, spark, sf_dir):
+    """An index over a folder with a file per nation: built, built again unchanged, after a fifth of the files has gone, and under another embedder."""
+    import uuid
+
+    from ..session import shared_dir
+    from ..sources.index import build_index, read_index
+
+    root = f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}"
+    folder = lambda k: f"{root}/files/Bestand-{k}-2024.csv"
+    lines = t("supplier").groupBy("s_nationkey").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(";", F.col("s_name"), german(F.col("s_acctbal"))))), "\n").alias("body")).collect()  # a fixture of at most 25 files
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in lines:
+        out = fs.create(jvm.Path(folder(r.s_nationkey)))
+        out.write(bytearray(f"Lieferant;Stand {r.s_nationkey} (EUR)\n{r.body}\n".encode()))
+        out.close()
+
+    def state(name: str, counts: dict[str, int]) -> tuple:
+        index = read_index(spark, f"{root}/index")
+        return (name, counts["new"], counts["unchanged"], counts["pruned"], index["documents"].count(), index["facts"].count())
+
+    rows = [state("first", build_index(spark, f"{root}/files", f"{root}/index")), state("again", build_index(spark, f"{root}/files", f"{root}/index"))]
+    for r in lines:
+        if r.s_nationkey % 5 == 0:
+            fs.delete(jvm.Path(folder(r.s_nationkey)), False)
+    rows.append(state("fewer", build_index(spark, f"{root}/files", f"{root}/index")))
+    rows.append(state("model", build_index(spark, f"{root}/files", f"{root}/index", embed_model="another")))
+    fs.delete(jvm.Path(root), True)
+    return spark.createDataFrame(rows, "round string, n_new bigint, n_unchanged bigint, n_pruned bigint, n_documents bigint, n_facts bigint")
+
+
+@query(
+    "with u as (select user_id, event_id, event_type || (event_id % 7) digest, (event_id % 10) * 1000000 n_bytes, event_id % 400 n_chunks from events), m as (select *, row_number() over (partition by user_id, digest order by event_id) = 1 f, n_bytes > 0 ok from u), "
+    "r as (select *, sum(case when f and ok then 1 else 0 end) over w a, sum(case when f and ok then n_bytes else 0 end) over w b, sum(case when f and ok then n_chunks else 0 end) over w c from m window w as (partition by user_id order by event_id rows unbounded preceding)) "
+    "select event_id, ok and (a <= 20 and b <= 52428800 and c <= 4000 or not f) accepted from r"
+)
+def upload_ceilings(t, spark, sf_dir):
+    """Uploads under the ceilings of their sessions on files, bytes and passages; the same content again counts nothing."""
+    k = F.col("event_id")
+    u = t("events").select(F.col("user_id").alias("session_id"), "event_id", k.alias("uploaded_at"), F.concat("event_type", (k % 7).cast("string")).alias("digest"), (k % 10 * 1000000).alias("n_bytes"), (k % 400).alias("n_chunks"))
+    return accepted_uploads(u).select("event_id", "accepted")
+
+
+@query("with p as (select min(o_orderkey) n, o_clerk_text from (select o_orderkey, repeat('x', cast(o_orderkey % 900 as int)) o_clerk_text from orders) group by o_orderkey, o_clerk_text order by n limit 12), c as (select n, left(o_clerk_text, 700) x from p), s as (select *, sum(length(x)) over (order by n rows unbounded preceding) z from c) select n, length(x) n_chars from s where z <= 60")
+def writer_budget(t, spark, sf_dir):
+    """The first passages, clipped, that fit whole into a budget."""
+    from ..engine import writer_passages
+
+    ev = t("orders").select(F.col("o_orderkey").alias("n"), F.repeat(F.lit("x"), (F.col("o_orderkey") % 900).cast("int")).alias("text"))
+    return writer_passages(ev, "n", 60).select("n", F.length("text").alias("n_chars"))
+
+
+@query("select s_suppkey id, 'session' as scope, s_suppkey as \"rank\" from supplier where s_suppkey <= 5 union all select s_suppkey, 'knowledge_base', s_suppkey from supplier where s_suppkey between 3 and 9")
+def scoped_hits(t, spark, sf_dir):
+    """Session hits before archive hits, never fused."""
+    s = t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("rank"))
+    return R.scoped_union(s.where("id <= 5"), s.where("id between 3 and 9")).select("id", "scope", "rank")
+
+
+@query("select o_orderpriority expect_source, count(*) n_queries from orders group by 1 order by 2 desc, 1 limit 3")
+def target_choice(t, spark, sf_dir):
+    """The documents that most queries expect."""
+    from ..engine import likely_targets
+
+    return likely_targets(t("orders").select(F.col("o_orderpriority").alias("expect_source")), 3)
