@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, ship, spread
+from . import filters
 
 #: bits of a token; more than enough to tell the tokens of two records apart
 TOKEN_BITS = 40
@@ -37,8 +38,6 @@ OPEN = 3
 #: bits of the parity bitmap of a token set of up to FIT tokens; twice as many for twice the size
 PARITY = 256
 FIT = 144
-#: bits of the filter that tells which records are compared exactly
-FILTER_BITS = 20
 #: records and characters that are worked on together
 BLOCK, BLOCK_CHARS = 4096, 1_500_000
 
@@ -392,21 +391,18 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str, threshold: f
     pairs = pairs.where(F.col("c") >= OPEN).unionByName(low).select("a", "b")
     sought = pairs.select(F.col("a").alias("class_a")).union(pairs.select("b")).distinct()
     named = cut(classes.groupBy("class_a", "class_b").agg(F.min("id").alias("id")).join(sought, "class_a"), "sought")
-    slot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).cast("int")
-    wanted = np.zeros(1 << FILTER_BITS, bool)
-    wanted[named.select(slot.alias("s")).distinct().toPandas()["s"].to_numpy(np.int64)] = True  # at most 2^FILTER_BITS rows
-    look = spark.sparkContext.broadcast(np.packbits(wanted))
+    bits, wanted = filters.build(named, F.xxhash64("id"))
+    look = spark.sparkContext.broadcast(wanted)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(look.value).astype(bool)
         for batch in batches:
-            rows = np.flatnonzero(flags[batch.column("slot").to_numpy()])
+            rows = np.flatnonzero(filters.held(look.value, batch.column("slot").to_numpy()))
             for at, texts in blocks(batch.column("text").take(pa.array(rows)).to_pylist()):
                 s = token_sets(texts, size, least_words)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, s.ends), pa.int32()), pa.array(s.tokens.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows[at + s.rows])), lists], ["id", "tokens"])
 
-    tokens = spread(src).withColumn("slot", slot).mapInArrow(fetch, f"id {id_type}, tokens array<bigint>")
+    tokens = spread(src).withColumn("slot", filters.slot(F.xxhash64("id"), bits)).mapInArrow(fetch, f"id {id_type}, tokens array<bigint>")
     sets = cut(tokens.join(named, "id").dropDuplicates(["id"]).select("class_a", "class_b", "tokens"), "tokens")
     side = lambda p: sets.select(*[F.col(c).alias(f"{p}_{c}") for c in sets.columns])
     met = pairs.join(side("a"), F.col("a") == F.col("a_class_a")).join(side("b"), F.col("b") == F.col("b_class_a"))

@@ -32,10 +32,10 @@ from pyspark.sql.window import Window
 
 from ..functions.text import key
 from ..session import cut, ship, spread
+from . import filters
 
 #: document of an entry whose rows are of several documents
 SEVERAL = -1
-FILTER_BITS = 20
 
 
 def usable(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -297,18 +297,15 @@ def similar_vectors(vectors: DataFrame, id_col: str = "id", doc_col: str = "doc_
     near = cut(planted.mapInArrow(climb, "a bigint, b bigint").distinct(), "near")
 
     # exact cosines of what the trees brought up
-    sought = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
-    wanted = np.zeros(1 << FILTER_BITS, bool)
-    slots = sought.select(F.pmod("key", F.lit(1 << FILTER_BITS)).alias("s")).distinct().toArrow().column("s")  # at most 2^FILTER_BITS rows
-    wanted[np.asarray(slots)] = True
-    look = spark.sparkContext.broadcast(np.packbits(wanted))
+    sought = cut(near.select(F.col("a").alias("key")).union(near.select("b")).distinct(), "sought")
+    bits_n, wanted = filters.build(sought, F.col("key"))
+    look = spark.sparkContext.broadcast(wanted)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(look.value).astype(bool)
         for batch in batches:
             _, v = usable(batch.column("v"), dim)
             keys = vector_keys(v)
-            at = np.flatnonzero(flags[keys % (1 << FILTER_BITS)])
+            at = np.flatnonzero(filters.held(look.value, keys % (1 << bits_n)))
             _, first = np.unique(keys[at], return_index=True)
             at = at[first]
             yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(list(v[at].astype(np.float64) / np.abs(v[at]).max(1, keepdims=True)), pa.list_(pa.float64()))], ["key", "v"])

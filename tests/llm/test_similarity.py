@@ -163,3 +163,15 @@ def test_nearest_vectors_of_dirty_rows(spark):
     alone = nearest_vectors(df.where("id = 1"), dim=8)
     assert alone.count() == 0
     assert similar_vectors(df, dim=8, k=4).count() > 0.97 * got.count()  # without a threshold: the same search, of every row
+
+
+def test_filter_holds_every_key(spark):
+    from ledgerloom.llm import filters
+
+    keys = spark.range(300_000).select(F.xxhash64("id").alias("key"))
+    for df in (keys, keys.where("false"), keys.limit(1)):
+        bits, packed = filters.build(df, F.col("key"))
+        got = np.array([r.key for r in df.collect()], np.int64)
+        assert len(packed) * 8 == 1 << bits and filters.held(packed, got % (1 << bits)).all()
+        others = np.array([r.key for r in spark.range(1 << 40, (1 << 40) + 5000).select(F.xxhash64("id").alias("key")).collect()])
+        assert filters.held(packed, others % (1 << bits)).mean() < 0.16
