@@ -3,16 +3,19 @@
 Records are sets of word shingles. Similar records are partitioned into groups
 (by the least token under a second hash); of each group the union of its
 members' tokens is kept, as a matrix distributed by token. A record queries the
-matrix with its own tokens; groups whose overlap bound reaches what is needed
-are opened, their members bounded one by one and what is left compared exactly.
-
-Only as much of the matrix is kept as exactness needs: of two sets with an
-overlap of at least a, the |x| - a + 1 rarest tokens of each share one, in any
-common order; |x| - a + c of each share c. The order is by a frequency sketch
-over all records, so common phrases stay out. Members of a group are bounded by
-their size and by parity bitmaps (two sets whose bitmaps differ in d bits have
-at least d tokens not in common), and by the group's overlap over all parts of
-the matrix. Records of the same token set are one class throughout.
+matrix with its own tokens; groups whose bound reaches what is needed are
+opened, their members bounded one by one and what is left compared exactly.
+
+Only as much of the matrix is kept as exactness needs: in any common order of
+the tokens, two sets that share a tokens have at least a tokens from the first
+shared one on, each. So of a set only the rarest tokens are asked for, and still
+fewer of the smaller set of a pair are in the matrix; the place of a token bounds
+the sizes of the sets that it can lead to. The order is by a frequency sketch
+over all records, so common phrases stay out, and it must tell the tokens of one
+record from those of some hundred: the pairs that common tokens make grow with
+the square of the table. Pairs that are left are bounded by parity bitmaps (two
+sets whose bitmaps differ in d bits have at least d tokens not in common).
+Records of the same token set are one class throughout.
 """
 
 from __future__ import annotations
@@ -32,9 +35,9 @@ from . import filters
 
 #: bits of a token; more than enough to tell the tokens of two records apart
 TOKEN_BITS = 40
-SKETCH_BITS = 18
-#: shared tokens that open a group
-OPEN = 3
+SKETCH_BITS = 22
+#: places of the sketch that travel together
+_CHUNK = 1 << 14
 #: bits of the parity bitmap of a token set of up to FIT tokens; twice as many for twice the size
 PARITY = 256
 FIT = 144
@@ -159,17 +162,16 @@ def sketch_place(tokens: np.ndarray) -> np.ndarray:
 
 def rarity(sketch: np.ndarray) -> np.ndarray:
     """Rank of each place of the sketch among 4,096 steps of frequency, on a logarithmic scale."""
-    return np.minimum(4095, np.log1p(sketch) * 128).astype(np.uint64)
+    return np.minimum(4095, np.log1p(sketch) * 128).astype(np.uint16)
 
 
-def prefixes(s: Sets, rare: np.ndarray, threshold: float) -> Sets:
-    """Of each set (at most BLOCK) the rarest tokens, of which two similar sets share OPEN."""
-    w = rare[sketch_place(s.tokens)]
+def prefixes(s: Sets, rare: np.ndarray, threshold: float) -> tuple[Sets, np.ndarray]:
+    """Of each set (at most BLOCK) the rarest tokens, among which the first stands that it shares with a similar set; the place of each."""
+    w = rare[sketch_place(s.tokens)].astype(np.uint64)
     keyed = np.sort((s.owner.astype(np.uint64) << np.uint64(52)) | (w << np.uint64(TOKEN_BITS)) | s.tokens)
-    need = needed(s.sizes, threshold)
-    length = s.sizes - need + np.minimum(OPEN, need)
-    at = np.repeat(s.starts, length) + _within(length)
-    return Sets(s.rows, np.cumsum(length), keyed[at] & np.uint64((1 << TOKEN_BITS) - 1))
+    length = s.sizes - needed(s.sizes, threshold) + 1
+    place = _within(length)
+    return Sets(s.rows, np.cumsum(length), keyed[np.repeat(s.starts, length) + place] & np.uint64((1 << TOKEN_BITS) - 1)), place
 
 
 def level_of(n: np.ndarray) -> np.ndarray:
@@ -184,131 +186,144 @@ def parity(s: Sets, bits: int) -> np.ndarray:
     return np.packbits(odd.reshape(len(s.ends), bits), axis=1, bitorder="little").view(np.uint64)
 
 
-HEAD = np.dtype([("sig", "<i8"), ("group", "<u4"), ("n", "<u4")])
-CELL = np.dtype([("token", "<u4"), ("row", "<u2")])
+def bitmaps(s: Sets) -> list[bytes]:
+    """Parity bitmap of each set, by its size."""
+    level = level_of(s.sizes)
+    got: list[bytes] = [b""] * len(level)
+    for x in np.unique(level):
+        rows = np.flatnonzero(level == x)
+        for i, bits in zip(rows.tolist(), parity(s.take(rows), PARITY << int(x))):
+            got[i] = bits.tobytes()
+    return got
+
+
+def overlap(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    """Tokens that sets of n and of m share at least if they are similar."""
+    return np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
+
+
+def reach(n: np.ndarray, m: np.ndarray, x: pa.Array, y: pa.Array, threshold: float) -> np.ndarray:
+    """Which pairs of sets of n and m tokens may reach the threshold by their bitmaps x and y."""
+    apart = np.zeros(len(n), np.int64)
+    level, other = level_of(n), level_of(m)
+    for a, b in set(zip(level.tolist(), other.tolist())):
+        at = np.flatnonzero((level == a) & (other == b))
+        both = []
+        for column, k in ((x, a), (y, b)):
+            words = np.frombuffer(b"".join(column.take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), -1)
+            for _ in range(k - min(a, b)):  # the bitmap of half the size
+                words = words[:, : words.shape[1] // 2] ^ words[:, words.shape[1] // 2 :]
+            both.append(words)
+        apart[at] = np.bitwise_count(both[0] ^ both[1]).sum(1, dtype=np.int64)
+    return n + m - apart >= 2 * overlap(n, m, threshold)
 
 
-def matrix_parts(s: Sets, sigs: np.ndarray, rare: np.ndarray, threshold: float, parts: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """(part, heads, bitmaps, cells) of the matrix for at most BLOCK records, each with one head per part in which it has cells.
+HEAD = np.dtype([("sig", "<i8"), ("group", "<u4"), ("n", "<u4")])
+CELL = np.dtype([("token", "<u4"), ("row", "<u2"), ("place", "<u2")])
 
-    The records of a part stand in the order of the size of their bitmaps.
-    """
-    order = np.argsort(level_of(s.sizes), kind="stable")
-    s, sigs = s.take(order), sigs[order]
-    level = level_of(s.sizes)
-    chosen = prefixes(s, rare, threshold)
+
+def matrix_parts(s: Sets, sigs: np.ndarray, rare: np.ndarray, threshold: float, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(part, heads, cells) of the matrix for at most BLOCK records, each with one head per part in which it has cells."""
+    chosen, place = prefixes(s, rare, threshold)
     head = np.zeros(len(sigs), HEAD)
     head["sig"], head["n"] = sigs, s.sizes
     head["group"] = np.minimum.reduceat(mix(chosen.tokens, 3), chosen.starts) >> np.uint64(32)
-    first = {int(x): int(np.searchsorted(level, x)) for x in np.unique(level)}
-    bitmaps = {x: parity(s.take(np.flatnonzero(level == x)), PARITY << x) for x in first}
-    token, row = chosen.tokens, chosen.owner
-    part = (mix(token, 6) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part * len(sigs) + row, kind="stable")
-    token, row, part = token[order], row[order], part[order]
+    part = (mix(chosen.tokens, 6) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part * len(sigs) + chosen.owner, kind="stable")
+    token, row, part = chosen.tokens[order], chosen.owner[order], part[order]
+    place = np.minimum(place[order], 65535)  # further back counts as there, which rules out less
     ends = np.searchsorted(part, np.arange(parts), side="right")
     a = 0
     for p, b in enumerate(ends.tolist()):
         if b > a:
             new = np.concatenate([[True], row[a + 1 : b] != row[a : b - 1]])
-            mine, cells = row[a:b][new], np.zeros(b - a, CELL)
-            cells["token"], cells["row"] = token[a:b] & np.uint64(0xFFFFFFFF), np.cumsum(new) - 1
-            bits = b"".join(bitmaps[x][mine[level[mine] == x] - first[x]].tobytes() for x in sorted(first))
-            yield p, head[mine].tobytes(), bits, cells.tobytes()
+            cells = np.zeros(b - a, CELL)
+            cells["token"], cells["row"], cells["place"] = token[a:b] & np.uint64(0xFFFFFFFF), np.cumsum(new) - 1, place[a:b]
+            yield p, head[row[a:b][new]].tobytes(), cells.tobytes()
         a = b
 
 
-class Bounds:
-    """Sizes and bitmaps of records, from which the overlap of two is bounded."""
-
-    def __init__(self, n: np.ndarray, batches: list[tuple[int, bytes]]):
-        """n of all records; per batch the number of its records and their bitmaps."""
-        self.n, self.level = n, level_of(n)
-        self.at = np.zeros((int(self.level.max()) + 1, len(n)), np.int32)
-        tables: list[list[np.ndarray]] = [[] for _ in range(len(self.at))]
-        a = 0
-        for count, blob in batches:
-            words, pos = np.frombuffer(blob, np.uint64), 0
-            level = self.level[a : a + count]
-            for x in np.unique(level):
-                rows, width = int((level == x).sum()), (PARITY << int(x)) // 64
-                tables[x].append(words[pos : pos + rows * width].reshape(rows, width))
-                pos += rows * width
-            a += count
-        self.tables: list[np.ndarray] = []
-        above: np.ndarray | None = None
-        for x in range(len(tables) - 1, -1, -1):  # a record also stands in the smaller bitmaps, folded
-            width = (PARITY << x) // 64
-            own = np.concatenate(tables[x]) if tables[x] else np.zeros((0, width), np.uint64)
-            if above is not None:
-                own = np.concatenate([own, above[:, :width] ^ above[:, width:]])
-            self.tables.insert(0, own)
-            above = own
-        order = np.zeros(0, np.int64)
-        for x in range(len(tables) - 1, -1, -1):
-            order = np.concatenate([np.flatnonzero(self.level == x), order])
-            self.at[x, order] = np.arange(len(order))
-
-    def reach(self, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
-        """Which pairs may reach the threshold."""
-        both = self.n[x] + self.n[y]
-        need = np.ceil(threshold / (1 + threshold) * both - 1e-9)
-        ok = np.minimum(self.n[x], self.n[y]) >= need
-        lower = np.minimum(self.level[x], self.level[y])
-        for level in range(len(self.tables)):
-            i = np.flatnonzero(ok & (lower == level))
-            t, at = self.tables[level], self.at[level]
-            apart = np.bitwise_count(t[at[x[i]]] ^ t[at[y[i]]]).sum(1, dtype=np.int64)
-            ok[i] = both[i] - apart >= 2 * need[i]
-        return ok
-
-
-def open_groups(heads: list[bytes], bitmaps: list[bytes], cells: list[bytes], threshold: float, block: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(class, class, overlap) of one part of the matrix: pairs that no bound rules out, the overlap of the first with the group of the second.
-
-    The queries are taken in runs, so an overlap is complete for this part.
+def open_groups(heads: list[bytes], cells: list[bytes], threshold: float, block: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(class, class) of one part of the matrix: pairs that no bound by sizes and places of tokens rules out.
+
+    The larger set of a pair asks, the smaller one is in the matrix with the
+    tokens that can be the first shared with a set no smaller.
     """
     head = np.frombuffer(b"".join(heads), HEAD)
-    sizes = np.array([len(h) // HEAD.itemsize for h in heads])
     cell = np.frombuffer(b"".join(cells), CELL)
-    row = cell["row"].astype(np.int64) + np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), [len(c) // CELL.itemsize for c in cells])
-    bounds = Bounds(head["n"].astype(np.int64), list(zip(sizes.tolist(), bitmaps)))
-    sig, first, of = np.unique(head["sig"], return_index=True, return_inverse=True)  # a class may come from several batches
-    names, group, members_of = np.unique(head["group"][first], return_inverse=True, return_counts=True)
-    token, number = np.unique(cell["token"], return_inverse=True)
-    # the matrix: the groups of each token, without those that hold one record and one token in common with itself only
-    matrix = np.unique(number * len(names) + group[of[row]])
-    m_token, m_group = matrix // len(names), matrix % len(names)
-    asked = np.unique(of[row] * len(token) + number)  # sorted by query
-    q, t = asked // len(token), asked % len(token)
-    start = np.searchsorted(m_token, np.arange(len(token)))
-    width = np.diff(np.append(start, len(m_token)))
-    alone = (width[t] == 1) & (members_of[group[q]] == 1)
-    q, t = q[~alone], t[~alone]
-    by_group = np.argsort(group, kind="stable")
-    group_start = np.concatenate([[0], np.cumsum(members_of)[:-1]])
-    last = np.flatnonzero(np.append(q[1:] != q[:-1], True)) + 1 if len(q) else np.zeros(0, np.int64)
-    ends = np.cumsum(width[t])[last - 1] if len(q) else last
-    a = i = 0
-    while i < len(last):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + block, side="right")))
-        b = int(last[j - 1])
-        w = width[t[a:b]]
-        g = m_group[np.repeat(start[t[a:b]], w) + _within(w)]
-        who = np.repeat(q[a:b], w)
-        ok = (g != group[who]) | (members_of[g] > 1)
-        opened, shared = np.unique(who[ok] * len(names) + g[ok], return_counts=True)
-        who, g = opened // len(names), opened % len(names)
-        n = members_of[g]
-        m, who, shared = by_group[np.repeat(group_start[g], n) + _within(n)], np.repeat(who, n), np.repeat(shared, n)
-        later = who < m
-        who, m, shared = who[later], m[later], shared[later]
-        for c in range(0, len(who), block):
-            x, y, z = who[c : c + block], m[c : c + block], shared[c : c + block]
-            ok = bounds.reach(first[x], first[y], threshold)
+    key = np.sort((cell["token"].astype(np.uint64) << np.uint64(32)) | np.arange(len(cell), dtype=np.uint64))
+    token, at = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    same = token[1:] == token[:-1]
+    met = np.append(same, False) | np.append(False, same)  # a token of one record leads nowhere
+    token, at = token[met], at[met]
+    if not len(at):
+        return
+    sizes = np.array([len(h) // HEAD.itemsize for h in heads])
+    row = cell["row"][at] + np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), [len(c) // CELL.itemsize for c in cells])[at]
+    sig, first, of = np.unique(head["sig"][row], return_index=True, return_inverse=True)  # a class may come from several batches
+    n_of, (names, group_of) = head["n"][row[first]].astype(np.int64), np.unique(head["group"][row[first]], return_inverse=True)
+    number = np.cumsum(np.append(True, token[1:] != token[:-1])) - 1
+    once, i = np.unique(number * len(sig) + of, return_index=True)
+    number, who = once // len(sig), once % len(sig)
+    n = n_of[who]
+    rest = n - cell["place"][at[i]]
+    kept = np.flatnonzero(rest >= overlap(n, n, threshold))
+    if not len(kept):
+        return
+    # the matrix: the groups of each token, with the least and largest size and the longest rest of their members
+    kept = kept[np.argsort(number[kept] * len(names) + group_of[who[kept]], kind="stable")]
+    line = number[kept] * len(names) + group_of[who[kept]]
+    start = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+    m_token, m_group = line[start] // len(names), line[start] % len(names)
+    least, largest, longest = np.minimum.reduceat(n[kept], start), np.maximum.reduceat(n[kept], start), np.maximum.reduceat(rest[kept], start)
+    member, i = np.unique(who[kept], return_index=True)
+    best = np.maximum.reduceat(rest[kept][np.argsort(who[kept], kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(who[kept])[member])[:-1]]))
+    by_group = np.argsort(group_of[member], kind="stable")
+    member, best = member[by_group], best[by_group]
+    members_of = np.bincount(group_of[member], minlength=len(names))
+    group_start = np.cumsum(members_of) - members_of
+    # the queries, in runs by record
+    lines = np.searchsorted(m_token, np.arange(number[-1] + 2))
+    asking = np.argsort(who, kind="stable")
+    asking = asking[np.diff(lines)[number[asking]] > 0]
+    if not len(asking):
+        return
+    width = np.diff(lines)[number[asking]]
+    last = np.flatnonzero(np.append(who[asking][1:] != who[asking][:-1], True)) + 1
+    for a, b in _runs(np.add.reduceat(width, np.concatenate([[0], last[:-1]])), block):
+        q = asking[last[a - 1] if a else 0 : last[b - 1]]
+        w = np.diff(lines)[number[q]]
+        g, q = np.repeat(lines[number[q]], w) + _within(w), np.repeat(q, w)
+        small = np.maximum(least[g], needed(n[q], threshold))
+        need = overlap(n[q], small, threshold)
+        ok = (least[g] <= n[q]) & (largest[g] >= small) & (rest[q] >= need) & (longest[g] >= need)
+        q, g = q[ok], g[ok]
+        if not len(q):
+            continue
+        asked = who[q] * len(names) + m_group[g]
+        order = np.argsort(asked, kind="stable")
+        asked, q, g = asked[order], q[order], g[order]
+        new = np.flatnonzero(np.append(True, asked[1:] != asked[:-1]))
+        x, g, mine, theirs = asked[new] // len(names), asked[new] % len(names), np.maximum.reduceat(rest[q], new), np.maximum.reduceat(longest[g], new)
+        for c, d in _runs(members_of[g], block):
+            k = members_of[g[c:d]]
+            at_member = np.repeat(group_start[g[c:d]], k) + _within(k)
+            u, v = np.repeat(x[c:d], k), member[at_member]
+            need = overlap(n_of[u], n_of[v], threshold)
+            smaller = (n_of[v] < n_of[u]) | ((n_of[v] == n_of[u]) & (v < u))
+            ok = smaller & (n_of[v] >= need) & (np.repeat(mine[c:d], k) >= need) & (np.minimum(np.repeat(theirs[c:d], k), best[at_member]) >= need)
             if ok.any():
-                yield sig[x[ok]], sig[y[ok]], z[ok]
-        a, i = b, j
+                yield np.minimum(sig[u[ok]], sig[v[ok]]), np.maximum(sig[u[ok]], sig[v[ok]])
+
+
+def _runs(widths: np.ndarray, block: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of at most a block in width, or of one item."""
+    ends = np.cumsum(widths)
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + block, side="right")))
+        yield a, b
+        a = b
 
 
 def _within(counts: np.ndarray) -> np.ndarray:
@@ -334,31 +349,40 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str, threshold: f
     id_type = src.schema["id"].dataType.simpleString()
     pa_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
 
-    names = ["id", "class_a", "class_b", "n_tokens"]
+    names = ["id", "class_a", "class_b", "n_tokens", "bits"]
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             for at, texts in blocks(batch.column("text").to_pylist()):
                 s = token_sets(texts, size, least_words)
                 if len(s.ends):
-                    sketch += np.bincount(sketch_place(s.tokens), minlength=1 << SKETCH_BITS)
+                    np.add.at(sketch, sketch_place(s.tokens), np.int32(1))
                     a, b = signatures(s)
-                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at + s.rows)), pa.array(a), pa.array(b), pa.array(s.sizes)], names)
-        full = np.flatnonzero(sketch)
-        if len(full):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa_id), pa.array(full), pa.nulls(len(full), pa.int64()), pa.array(sketch[full])], names)
-
-    surveyed = cut(spread(src).mapInArrow(survey, f"id {id_type}, class_a bigint, class_b bigint, n_tokens bigint"), "shingles")
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    counted = surveyed.where("id is null").groupBy("class_a").agg(F.sum("n_tokens").alias("n")).toArrow()  # at most 2^SKETCH_BITS rows
-    sketch[np.asarray(counted.column("class_a"))] = np.asarray(counted.column("n"))
-    held = spark.sparkContext.broadcast(rarity(sketch))
-    classes = surveyed.where("id is not null").dropDuplicates(["id"])
-
-    records_n, tokens_n = surveyed.where("id is not null").agg(F.count("*"), F.sum("n_tokens")).first()
-    volume = (1 - threshold) * (tokens_n or 0) * CELL.itemsize + (records_n or 0) * (HEAD.itemsize + PARITY // 8) * 16
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(volume / (part_mb * 1_000_000)))
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at + s.rows)), pa.array(a), pa.array(b), pa.array(s.sizes), pa.array(bitmaps(s), pa.binary())], names)
+        full = [c for c in range(len(sketch) // _CHUNK) if sketch[c * _CHUNK : (c + 1) * _CHUNK].any()]
+        if full:
+            packed = [pa.compress(sketch[c * _CHUNK : (c + 1) * _CHUNK].tobytes(), codec="zstd", asbytes=True) for c in full]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa_id), pa.array(full, pa.int64()), *(pa.nulls(len(full), pa.int64()) for _ in range(2)), pa.array(packed, pa.binary())], names)
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, packed in zip(batch.column("class_a").to_pylist(), batch.column("bits").to_pylist()):
+                sums[c] = sums.get(c, 0) + np.frombuffer(pa.decompress(packed, 4 * _CHUNK, codec="zstd", asbytes=True), np.int32).astype(np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([rarity(x).tobytes() for x in sums.values()], pa.binary())], ["chunk", "ranks"])
+
+    surveyed = cut(spread(src).mapInArrow(survey, f"id {id_type}, class_a bigint, class_b bigint, n_tokens bigint, bits binary"), "shingles")
+    rare = np.zeros(1 << SKETCH_BITS, np.uint16)
+    for chunk, ranks in surveyed.where("id is null").select("class_a", "bits").repartition("class_a").mapInArrow(ranked, "chunk bigint, ranks binary").collect():  # 8 MB
+        rare[chunk * _CHUNK : (chunk + 1) * _CHUNK] = np.frombuffer(ranks, np.uint16)
+    held = spark.sparkContext.broadcast(rare)
+    records = surveyed.where("id is not null")
+    classes = records.select("id", "class_a", "class_b", "n_tokens").dropDuplicates(["id"])
+
+    volume = (1 - threshold) * (records.agg(F.sum("n_tokens")).first()[0] or 0) * (CELL.itemsize + HEAD.itemsize)  # with many parts, a cell has a head of its own
+    parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), math.ceil(volume / (part_mb * 1_000_000)))
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,30 +392,33 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str, threshold: f
                     continue
                 sigs, one = np.unique(signatures(s)[0], return_index=True)  # copies cost one row a block
                 rows = list(zip(*matrix_parts(s.take(one), sigs, held.value, threshold, parts)))
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["part", "heads", "bitmaps", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["part", "heads", "cells"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[list[bytes]] = [[], [], []]
+        got: list[list[bytes]] = [[], []]
         for batch in batches:
-            for kept, name in zip(got, ("heads", "bitmaps", "cells")):
+            for kept, name in zip(got, ("heads", "cells")):
                 kept += batch.column(name).to_pylist()
         if got[0]:
-            for a, b, c in open_groups(*got, threshold):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], ["a", "b", "c"])
+            for a, b in open_groups(*got, threshold):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            ok = pa.array(reach(n, m, batch.column("x"), batch.column("y"), threshold))
+            yield batch.select(["a", "b"]).filter(ok)
 
-    matrix = spread(src).mapInArrow(plant, "part int, heads binary, bitmaps binary, cells binary").repartitionById(parts, F.col("part"))
-    overlaps = matrix.mapInArrow(compare, "a bigint, b bigint, c bigint").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    # a set of few tokens need share no more than it must; such sets are told by their class table below
-    pairs = cut(overlaps, "opened")
+    matrix = spread(src).mapInArrow(plant, "part int, heads binary, cells binary").repartitionById(parts, F.col("part"))
+    opened = cut(matrix.mapInArrow(compare, "a bigint, b bigint").distinct(), "opened")
+    bits = records.groupBy("class_a").agg(F.first("n_tokens").alias("n"), F.first("bits").alias("bits"))
+    sized = lambda p, n, x: bits.select(F.col("class_a").alias(p), F.col("n").alias(n), F.col("bits").alias(x))
+    pairs = cut(opened.join(sized("a", "n", "x"), "a").join(sized("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y").mapInArrow(bounded, "a bigint, b bigint"), "pairs")
 
     # exact comparison: the token sets of the classes in open pairs, each from its least record
-    small = math.ceil(OPEN / threshold)  # below, a set must share fewer than OPEN tokens
-    few = classes.where(F.col("n_tokens") <= small).select(F.col("class_a").alias("a")).distinct().withColumn("few", F.lit(True))
-    low = pairs.where(F.col("c") < OPEN).join(few, "a", "left_semi")
-    pairs = pairs.where(F.col("c") >= OPEN).unionByName(low).select("a", "b")
     sought = pairs.select(F.col("a").alias("class_a")).union(pairs.select("b")).distinct()
     named = cut(classes.groupBy("class_a", "class_b").agg(F.min("id").alias("id")).join(sought, "class_a"), "sought")
-    bits, wanted = filters.build(named, F.xxhash64("id"))
+    slots, wanted = filters.build(named, F.xxhash64("id"))
     look = spark.sparkContext.broadcast(wanted)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,7 +429,7 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str, threshold: f
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, s.ends), pa.int32()), pa.array(s.tokens.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows[at + s.rows])), lists], ["id", "tokens"])
 
-    tokens = spread(src).withColumn("slot", filters.slot(F.xxhash64("id"), bits)).mapInArrow(fetch, f"id {id_type}, tokens array<bigint>")
+    tokens = spread(src).withColumn("slot", filters.slot(F.xxhash64("id"), slots)).mapInArrow(fetch, f"id {id_type}, tokens array<bigint>")
     sets = cut(tokens.join(named, "id").dropDuplicates(["id"]).select("class_a", "class_b", "tokens"), "tokens")
     side = lambda p: sets.select(*[F.col(c).alias(f"{p}_{c}") for c in sets.columns])
     met = pairs.join(side("a"), F.col("a") == F.col("a_class_a")).join(side("b"), F.col("b") == F.col("b_class_a"))

@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import neardup
 from ledgerloom.llm.neardup import components, link_counts, near_duplicates, record_groups, record_pairs, token_sets
 from ledgerloom.llm.nearest import nearest_vectors
 from ledgerloom.llm.similar import similar_vectors
@@ -69,6 +71,42 @@ def test_token_sets_are_those_of_words():
     assert dict(zip(s.rows.tolist(), s.sizes.tolist())) == {i: len(shingles(t, 2)) for i, t in enumerate(texts) if shingles(t, 2)}
 
 
+def test_order_tells_rare_tokens_in_a_large_table():
+    """Tokens of ten records rank behind nearly all tokens of one record, of which there are eight million."""
+    rng = np.random.default_rng(5)
+    rare, common = (rng.integers(0, 1 << neardup.TOKEN_BITS, n, dtype=np.uint64) for n in (8_000_000, 20_000))
+    places = neardup.sketch_place(np.concatenate([rare, np.repeat(common, 10)]))
+    rank = neardup.rarity(np.bincount(places, minlength=1 << neardup.SKETCH_BITS))
+    least = np.quantile(rank[neardup.sketch_place(rare)], 0.9)
+    assert (rank[neardup.sketch_place(common)] > least).mean() > 0.95
+
+
+def test_matrix_opens_what_may_be_similar():
+    """Texts of common phrases with a third of tokens of their own: few pairs are opened, none is lost, and the matrix does not grow with its parts."""
+    rng = np.random.default_rng(7)
+    phrases = rng.integers(0, 1 << neardup.TOKEN_BITS, (60, 12), dtype=np.uint64)
+    sets = []
+    for _ in range(400):
+        own = rng.integers(0, 1 << neardup.TOKEN_BITS, rng.integers(20, 60), dtype=np.uint64)
+        common = phrases[rng.permutation(60)[: 1 + len(own) // 6]].ravel()
+        sets.append(np.unique(np.concatenate([own, common])))
+    sets += [np.unique(np.concatenate([x[: int(f * len(x))], rng.integers(0, 1 << neardup.TOKEN_BITS, 5, dtype=np.uint64)])) for x, f in zip(sets[:120], np.linspace(0.5, 1, 120))]
+    s = neardup.Sets(np.arange(len(sets)), np.cumsum([len(x) for x in sets]), np.concatenate(sets))
+    rare = neardup.rarity(np.bincount(neardup.sketch_place(s.tokens), minlength=1 << neardup.SKETCH_BITS))
+    sig = neardup.signatures(s)[0]
+    want = {tuple(sorted((sig[i], sig[j]))) for i in range(len(sets)) for j in range(i) if (k := len(np.intersect1d(sets[i], sets[j], assume_unique=True))) >= 0.6 * (len(sets[i]) + len(sets[j]) - k) - 1e-9}
+    assert len(want) > 60
+    for parts in (1, 7, 500):
+        rows = list(neardup.matrix_parts(s, sig, rare, 0.6, parts))
+        assert sum(len(x) for row in rows for x in row[1:]) <= 24 * sum(len(x) - int(np.ceil(0.6 * len(x) - 1e-9)) + 3 for x in sets)
+        got = {(a, b) for row in rows for x, y in neardup.open_groups(*([x] for x in row[1:]), 0.6, block=50) for a, b in zip(x.tolist(), y.tolist())}
+        assert want <= got and len(got) < 2 * len(want) + 100
+    shared = [np.array(x) for x in zip(*[(i, j) for i in range(130) for j in range(400, 520)])]
+    bits = pa.array(neardup.bitmaps(s), pa.binary())
+    ok = neardup.reach(s.sizes[shared[0]], s.sizes[shared[1]], bits.take(pa.array(shared[0])), bits.take(pa.array(shared[1])), 0.6)
+    assert want & {tuple(sorted((sig[i], sig[j]))) for i, j in zip(*shared)} <= {tuple(sorted((sig[i], sig[j]))) for i, j in zip(shared[0][ok], shared[1][ok])} and ok.mean() < 0.2
+
+
 def test_similar_vectors_against_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((60, 8))
